@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import language, mixing
+from . import bpe, chat, language, licenses, mixing, topk
 
 QUERIES = {
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
+    "op7_exact_topk": topk.op7_exact_topk,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_chat_format": chat.op9_chat_format,
     "op10_language_id": language.op10_language_id,
 }
 
 ORACLES = {
     "op6_mixing": mixing.ORACLE,
+    "op7_exact_topk": topk.ORACLE,
 }
