@@ -216,4 +216,5 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         seen = tuple(state)
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    leaves = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    return leaves.union(leaves.select(F.col("component").alias("id"), "component").distinct())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language, licenses, mixing, topk
+from . import bpe, chat, jaccard, language, licenses, mixing, topk
 
 QUERIES = {
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_topk": topk.op7_exact_topk,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_jaccard": jaccard.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_exact_topk": topk.ORACLE,
 }
