@@ -116,6 +116,14 @@ def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def span_hashes(tokens: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of the tokens start .. start + length - 1 of each span; equal to that of gram_hashes for equal tokens."""
+    pw, ipw = _powers(len(tokens) + 1)
+    prefix = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * pw[: len(tokens)], out=prefix[1:])
+    return mix((prefix[start + length] - prefix[start]) * ipw[start] + length.astype(np.uint64))
+
+
 def pieces(batches, text: str = "text", most: int = 8 << 20):
     """Record batches cut so that each holds about `most` bytes of text (one document at least)."""
     for batch in batches:

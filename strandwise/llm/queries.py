@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, language, licenses, mixing, topk
+from . import bpe, chat, jaccard, language, licenses, mixing, substring, topk
 
 QUERIES = {
+    "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": substring.ORACLE,
     "op4_ngram_jaccard": jaccard.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_exact_topk": topk.ORACLE,
