@@ -70,7 +70,7 @@ class MinimalPerfectHash:
 class Tokenizer:
     """Ranks of a byte-level BPE. encode gives ids; decode gives bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 500_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the ranks must hold every single byte")
         self.token = {i: b for b, i in ranks.items()}
@@ -149,7 +149,7 @@ class Tokenizer:
         """The ids as decimals, joined by a blank."""
         cache = self._cache
         if len(cache) > self.cache_size:
-            cache.clear()
+            cache.turn()
         return " ".join([cache[m] for m in self._find(text)])
 
     def encode(self, text: str) -> list[int]:
@@ -164,12 +164,20 @@ class Tokenizer:
 
 
 class _Cache(dict):
+    """Two generations: what was used since the last turn, and what the turn before kept."""
+
     def __init__(self, owner: Tokenizer):
         super().__init__()
-        self.owner = owner
+        self.owner, self.older = owner, {}
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, match: str) -> str:
-        found = " ".join(map(str, self.owner.encode_match(match.encode())))
+        found = self.older.get(match)
+        if found is None:
+            found = " ".join(map(str, self.owner.encode_match(match.encode())))
         self[match] = found
         return found
 
