@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, language, licenses, mixing, substring, topk
+from . import bpe, chat, jaccard, language, licenses, lm, mixing, substring, topk
 
 QUERIES = {
+    "op1_lm_score": lm.op1_lm_score,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_license_scan": licenses.op5_license_scan,
