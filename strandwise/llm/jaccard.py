@@ -2,8 +2,8 @@
 
 1. Each document becomes its set of n-gram hashes; documents with equal sets form a class, and only classes go on.
 2. N-grams are ordered from rare to frequent by a count sketch of fixed size over all documents. Two sets that reach the
-   threshold share an n-gram among the first `n - ceil(t n) + 1` of each (prefix filter), so the connected components of
-   "shares a prefix n-gram" hold every link.
+   threshold share an n-gram among the first `n - ceil(t n) + 1` of each (prefix filter), and their sizes are in one
+   band or two adjoining ones, so the connected components of "shares a prefix n-gram and a band" hold every link.
 3. A component is one tile, or, if large, tiles of pairs of blocks with like set sizes: a block holds about
    `block_grams` n-grams, whatever the component's size. Nothing is ever expanded into pairs by a join.
 4. In a tile every set searches the inverted lists: DivideSkip merges its short lists with a heap, keeps ids that occur
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ._common import U64, checkpoint, components, gram_hashes, mix, pieces, release, word_hashes
 
 SKETCH_BITS = 22
+FILTER_BITS = 26
 _SKETCH_PARTS = 64
 
 
@@ -97,6 +98,37 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _class_filter(classes: DataFrame) -> bytes:
+    """A bit for the first FILTER_BITS bits of each class: a fixed size, for any input."""
+
+    def run(batches):
+        bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+        for b in batches:
+            slot = (b.column("class").to_numpy().view(np.uint64) >> U64(64 - FILTER_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        for part, x in enumerate(np.split(bits, _SKETCH_PARTS)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "bits"])
+
+    def add(batches):
+        part, total = None, None
+        for b in batches:
+            for p, raw in zip(b.column("part").to_pylist(), b.column("bits").to_pylist()):
+                if p != part:
+                    if part is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
+                    part, total = p, np.zeros(len(raw), np.uint8)
+                total |= np.frombuffer(raw, np.uint8)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
+
+    schema = "part int, bits binary"
+    out = np.zeros((_SKETCH_PARTS, (1 << FILTER_BITS - 3) // _SKETCH_PARTS), np.uint8)
+    for r in classes.select("class").mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
 class InvertedLists:
     """Lists of set numbers by n-gram, for sets given in order of size."""
 
@@ -190,6 +222,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 5
     named = checkpoint(docs.mapInArrow(name, f"doc_id {id_type}, n_shingles long, class long"))
     classes = checkpoint(named.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
 
+    width = float(np.log(100 / percent) * 1.001) if percent < 100 else 1.0
+
     def prefix(batches):
         rank = counts.value
         for batch in pieces(batches):
@@ -200,13 +234,33 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 5
             place = np.arange(len(g)) - np.repeat(bounds[:-1], size)
             take = place < np.repeat(size + 1 - -(-percent * size // 100), size)
             key = np.repeat(class_keys(g, bounds), size)
-            pair = np.unique(np.stack([g[order][take].view(np.int64), key[take]]), axis=1) if take.any() else np.zeros((2, 0), np.int64)
-            for a in range(0, pair.shape[1], 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0, a : a + 200_000], pa.int64()), pa.array(pair[1, a : a + 200_000], pa.int64())], names=["gram", "class"])
-
-    first = docs.select("text").mapInArrow(prefix, "gram long, class long")
-    shared = first.groupBy("gram").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("gram", "least")
-    edges = first.join(shared.hint("merge"), "gram").select(F.col("class").alias("a"), F.col("least").alias("b"))
+            # an n-gram counts with the band of the set's size and the next, so only sets of like size meet
+            own, gram, band = key[take], g[order][take], np.floor(np.log(np.maximum(size, 1)) / width).astype(np.uint64)[doc[take]]
+            keys = np.concatenate([mix(gram + band * U64(0x9E3779B97F4A7C15)), mix(gram + (band + U64(1)) * U64(0x9E3779B97F4A7C15))]).view(np.int64)
+            own = np.concatenate([own, own])
+            by = np.lexsort((own, keys))
+            keys, own = keys[by], own[by]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+            keys, own = keys[new], own[new]
+            for a in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000]), pa.array(own[a : a + 200_000])], names=["key", "class"])
+
+    def chain(batches):
+        # rows come by key and class: classes with a key in common are linked one to the next
+        last = None
+        for b in batches:
+            key, own = b.column("key").to_numpy(), b.column("class").to_numpy()
+            if last is not None:
+                key, own = np.insert(key, 0, last[0]), np.insert(own, 0, last[1])
+            last = key[-1], own[-1]
+            at = np.flatnonzero((key[1:] == key[:-1]) & (own[1:] != own[:-1]))
+            pair = np.unique(np.stack([own[at], own[at + 1]]), axis=1)
+            if pair.size:
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    first = docs.select("text").mapInArrow(prefix, "key long, class long")
+    edges = first.repartition("key").sortWithinPartitions("key", "class").mapInArrow(chain, "a long, b long")
     near = components(edges)
     release(spark)
 
@@ -214,7 +268,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 5
     member = classes.join(near, classes["class"] == near["id"]).select("class", "n_shingles", "copies", "component")
     whole = member.groupBy("component").agg(F.sum("n_shingles").alias("grams"))
     member = member.join(whole, "component").withColumn("large", F.col("grams") > block_grams)
-    member = member.withColumn("band", F.when(F.col("large"), F.floor(F.log("n_shingles") / (np.log(100 / percent) * 1.001 if percent < 100 else 1.0))).otherwise(F.lit(0)).cast("long"))
+    member = member.withColumn("band", F.when(F.col("large"), F.floor(F.log("n_shingles") / width)).otherwise(F.lit(0)).cast("long"))
     bands = member.groupBy("component", "band").agg(F.ceil(F.sum("n_shingles") / block_grams).cast("long").alias("subs"))
     order = Window.partitionBy("component").orderBy("band")
     beside = lambda f: F.when(f("band").over(order) == F.col("band") + (1 if f is F.lead else -1), f("subs").over(order)).otherwise(F.lit(0))
@@ -227,12 +281,19 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 5
     tiles = member.select("class", "copies", "component", "code", F.explode(others).alias("other")).select("class", "copies", "component", "code", F.least("code", "other").alias("lo"), F.greatest("code", "other").alias("hi"))
     tiles = checkpoint(tiles)
 
+    # a filter of fixed size spares most sets the way; the join below decides
+    some = spark.sparkContext.broadcast(_class_filter(tiles))
+
     def emit(batches):
+        bits = np.frombuffer(some.value, np.uint8)
         for batch in pieces(batches):
             g, bounds = shingle_sets(batch.column("text"), n)
             key = class_keys(g, bounds)
             _, once = np.unique(key, return_index=True)
-            once = once[np.diff(bounds)[once] > 0]
+            slot = (key[once].view(np.uint64) >> U64(64 - FILTER_BITS)).astype(np.int64)
+            once = once[(np.diff(bounds)[once] > 0) & (bits[slot >> 3] >> (slot & 7) & 1 > 0)]
+            if not len(once):
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(key[once], pa.int64()), pa.array([g[bounds[i] : bounds[i + 1]].tobytes() for i in once], pa.binary())], names=["class", "grams"])
 
     # one copy of each class that shares anything; the sets meet their tiles by class
