@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, language, licenses, lm, mixing, substring, topk
+from . import bpe, chat, embeddings, jaccard, language, licenses, lm, mixing, substring, topk
 
 QUERIES = {
+    "op2_embedding_dedup": embeddings.op2_embedding_dedup,
     "op1_lm_score": lm.op1_lm_score,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_embedding_dedup": embeddings.ORACLE,
     "op3_substring_dedup": substring.ORACLE,
     "op4_ngram_jaccard": jaccard.ORACLE,
     "op6_mixing": mixing.ORACLE,
