@@ -208,18 +208,32 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, code: np.ndarray, sets: list[
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id."""
+    return _grouped(docs.withColumn("key", F.lit(0).cast("long")), n, percent, block_grams).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group, that of the smallest id; rows that are equal in all columns count once."""
+    columns = docs.columns
+    keyed = docs.withColumn("key", F.xxhash64(*columns))
+    groups = _grouped(keyed, **options).select("key", "doc_id", "group")
+    kept = groups.groupBy("group").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
+    return keyed.dropDuplicates(["key"]).join(kept.select("key").hint("merge"), "key", "left_semi").select(*columns)
+
+
+def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 500_000) -> DataFrame:
+    """doc_id, key, n_shingles, n_similar, component_id, group: the key is carried along, and stands for the group of an empty set."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "key")
     counts = spark.sparkContext.broadcast(sketch(docs, n))
     release(spark)
 
     def name(batches):
         for batch in pieces(batches):
             g, bounds = shingle_sets(batch.column("text"), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(g, bounds), pa.int64())], names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(g, bounds), pa.int64())], names=["doc_id", "key", "n_shingles", "class"])
 
-    named = checkpoint(docs.mapInArrow(name, f"doc_id {id_type}, n_shingles long, class long"))
+    named = checkpoint(docs.mapInArrow(name, f"doc_id {id_type}, key long, n_shingles long, class long"))
     classes = checkpoint(named.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
 
     width = float(np.log(100 / percent) * 1.001) if percent < 100 else 1.0
@@ -314,9 +328,9 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 5
     total = linked.groupBy("class").agg(F.sum("links").alias("links"))
     of = classes.join(total, "class", "left").join(groups.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(names, "component").select("class", F.col("n_shingles").alias("_n"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
+    of = of.join(names, "component").select("class", F.col("n_shingles").alias("_n"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id", "component")
     out = named.join(of, (named["class"] == of["class"]) & (named["n_shingles"] == of["_n"]), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", F.coalesce("component", "key").alias("group"), "n_shingles", F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = r"""

@@ -79,12 +79,13 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a document that is taken k times over, in part at last, comes k times, whole.
 
-    So each source exceeds its budget by less than one document.
+    So each source exceeds its budget by less than one document. The texts move once, to meet their counts.
     """
     columns = docs.columns
-    taken = mix(docs, keep=tuple(columns), **options)
+    keyed = docs.withColumn("_key", F.xxhash64(*columns))
     copies = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return taken.where("taken > 0").select(*columns, F.explode(F.sequence(F.lit(1), copies)).alias("_epoch")).select(*columns)
+    taken = mix(keyed, keep=("_key",), **options).where("taken > 0").groupBy("_key").agg(F.sum(copies).cast("int").alias("_copies"))
+    return keyed.dropDuplicates(["_key"]).join(taken.hint("merge"), "_key").select(*columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_epoch")).select(*columns)
 
 
 ORACLE = r"""
