@@ -14,7 +14,7 @@ INTERVALS = """
 SELECT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING)) AS chr,
        (l_orderkey * 31 + l_linenumber * 7) % 900000 + 1 AS pos_s,
        (l_orderkey * 31 + l_linenumber * 7) % 900000 + 1 + CAST(l_quantity AS INT) * 3 AS pos_e,
-       l_orderkey * 8 + l_linenumber AS id
+       ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id
 FROM lineitem
 """
 OTHERS = """
@@ -36,7 +36,7 @@ SELECT concat('q', CAST(l_orderkey AS STRING)) AS qname,
        CASE l_linenumber WHEN 1 THEN l_orderkey % 50 + 10 WHEN 2 THEN -(l_orderkey % 50 + 10) ELSE 0 END AS tlen,
        substr('ACGTTGCAACGTTGCAACGTTGCA', CAST(l_partkey % 8 + 1 AS INT), CASE WHEN l_partkey % 6 = 5 THEN 8 ELSE 10 END) AS seq,
        substr('IIII5555####ABCDEFGHIJKL', CAST(l_suppkey % 9 + 1 AS INT), CASE WHEN l_partkey % 6 = 5 THEN 8 ELSE 10 END) AS qual,
-       l_orderkey * 8 + l_linenumber AS ordinal
+       ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ordinal
 FROM lineitem
 """
 VARIANTS = """

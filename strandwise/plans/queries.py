@@ -90,7 +90,7 @@ def _(spark, d):
 REGIONS = "SELECT concat('chr', CAST(l_suppkey AS STRING), CASE WHEN l_linenumber > 1 THEN concat(':', CAST(l_partkey AS STRING)) ELSE '' END, CASE WHEN l_linenumber > 2 THEN concat('-', CAST(l_partkey + 50 AS STRING)) ELSE '' END) AS r, l_orderkey * 8 + l_linenumber AS id, l_suppkey, l_partkey, l_linenumber FROM lineitem"
 
 
-@query("region_parse", f"SELECT id, 'chr' || l_suppkey AS chr, CASE WHEN l_linenumber > 1 THEN l_partkey END AS s, CASE WHEN l_linenumber > 2 THEN l_partkey + 50 END AS e, l_linenumber > 2 AS strict FROM {derive.duck(REGIONS)}")
+@query("region_parse", f"SELECT id, 'chr' || l_suppkey AS chr, CASE WHEN l_linenumber > 1 THEN l_partkey END AS s, CASE WHEN l_linenumber > 2 THEN l_partkey + 50 END AS e, (l_linenumber > 2 AND l_partkey >= 1) AS strict FROM {derive.duck(REGIONS)}")
 def _(spark, d):
     r = regions.parse_region(c("r"))
     return derive.relation(spark, d, REGIONS).select("id", r["chr"].alias("chr"), r["start"].alias("s"), r["end"].alias("e"), regions.parse_region_strict(c("r")).isNotNull().alias("strict"))
@@ -98,7 +98,7 @@ def _(spark, d):
 
 query("region_format", f"SELECT id, r FROM {derive.duck(REGIONS)}")(lambda s, d: derive.relation(s, d, REGIONS).select("id", regions.format_region(F.concat(F.lit("chr"), c("l_suppkey").cast("string")), F.when(c("l_linenumber") > 1, c("l_partkey")), F.when(c("l_linenumber") > 2, c("l_partkey") + 50)).alias("r")))
 _simple("region_valid", derive.intervals, lambda: ["id", regions.valid_region(c("chr"), c("start") - 20, c("end") - 40).alias("ok")], f"SELECT id, (pos_s - 20 >= 1 AND pos_e - 40 >= 1 AND pos_s - 20 <= pos_e - 40) AS ok FROM {I}")
-CHROMS = "SELECT CASE l_partkey % 8 WHEN 0 THEN concat('chr', CAST(l_suppkey AS STRING)) WHEN 1 THEN CAST(l_suppkey AS STRING) WHEN 2 THEN 'x' WHEN 3 THEN 'MT' WHEN 4 THEN 'chrUn_x' WHEN 5 THEN 'Chr0007' WHEN 6 THEN 'M_foo' ELSE 'GL1' END AS name, l_suppkey AS k, l_partkey % 8 AS kind, l_orderkey * 8 + l_linenumber AS id FROM lineitem"
+CHROMS = "SELECT CASE l_partkey % 8 WHEN 0 THEN concat('chr', CAST(l_suppkey + 1 AS STRING)) WHEN 1 THEN CAST(l_suppkey + 1 AS STRING) WHEN 2 THEN 'x' WHEN 3 THEN 'MT' WHEN 4 THEN 'chrUn_x' WHEN 5 THEN 'Chr0007' WHEN 6 THEN 'M_foo' ELSE 'GL1' END AS name, l_suppkey + 1 AS k, l_partkey % 8 AS kind, l_orderkey * 8 + l_linenumber AS id FROM lineitem"
 query("chrom_normalize", f"SELECT id, CASE kind WHEN 0 THEN name WHEN 1 THEN 'chr' || name WHEN 2 THEN 'chrX' WHEN 3 THEN 'chrM' WHEN 4 THEN name WHEN 5 THEN 'chr7' WHEN 6 THEN 'chrM_foo' ELSE name END AS norm, kind IN (2, 3, 5) OR (kind < 2 AND k <= 22) AS main FROM {derive.duck(CHROMS)}")(
     lambda s, d: derive.relation(s, d, CHROMS).select("id", regions.normalize_chromosome(c("name")).alias("norm"), regions.is_primary_chromosome(c("name")).alias("main"))
 )
@@ -204,7 +204,7 @@ query(
     f"WITH x AS (SELECT rname, pos, lead(pos) OVER w - 1 AS e, sum(d) OVER (PARTITION BY rname ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth FROM {STEPS} WHERE d <> 0 WINDOW w AS (PARTITION BY rname ORDER BY pos)) SELECT rname, pos::BIGINT AS \"start\", e::BIGINT AS \"end\", depth::BIGINT AS depth FROM x WHERE depth > 0",
 )(lambda s, d: coverage.depth_runs(_spans(s, d)))
 for _name, _s, _e in (("depth_region", 1000, 3000), ("depth_dense", 1, 160000)):
-    query(_name, f"SELECT p AS pos, coalesce(n, 0)::BIGINT AS depth FROM (SELECT unnest(range({_s}, {_e + 1})) AS p) LEFT JOIN (SELECT unnest(range(pos, last + 1)) AS q, count(*) AS n FROM {ENDS} WHERE rname = 'chr3' GROUP BY 1) ON p = q")(lambda s, d, a=_s, b=_e: coverage.depth(_spans(s, d), "chr3", a, b, derive.LENGTH))
+    query(_name, f"SELECT p AS pos, coalesce(n, 0)::BIGINT AS depth FROM (SELECT unnest(range({_s}, {_e + 1})) AS p) LEFT JOIN (SELECT unnest(range(pos::BIGINT, (last + 1)::BIGINT)) AS q, count(*) AS n FROM {ENDS} WHERE rname = 'chr3' GROUP BY 1) ON p = q")(lambda s, d, a=_s, b=_e: coverage.depth(_spans(s, d), "chr3", a, b, derive.LENGTH))
 
 # plain aligned bases of a read, in SQL: (kind, reference offset, query offset) by CIGAR shape
 SHAPES = {
@@ -264,7 +264,7 @@ query("dedupe_marked", f"WITH {DEDUPE} SELECT ordinal, (flag | CASE WHEN ordinal
 MATES = f"SELECT a.ordinal AS a, b.ordinal AS b FROM {L} a JOIN {L} b ON a.qname = b.qname AND a.rname = b.rname AND a.rnext = '=' AND a.pnext = b.pos AND ((a.flag & 64 <> 0 AND b.flag & 128 <> 0) OR (a.flag & 128 <> 0 AND b.flag & 64 <> 0)) AND b.flag & 2304 = 0"
 query("mate_lookup", MATES)(lambda s, d: A.mates(derive.alignments(s, d), derive.alignments(s, d)).select(c("ordinal").alias("a"), c("mate_ordinal").alias("b")))
 query("make_pairs", f"SELECT qname, min(ordinal) AS first, max(ordinal) AS second FROM {L} WHERE flag & 1 <> 0 AND flag & 2304 = 0 GROUP BY qname HAVING count(*) = 2")(lambda s, d: A.make_pairs(derive.alignments(s, d)))
-query("make_pairs_fetched", f"SELECT a.qname, least(a.ordinal, b.ordinal) AS first, greatest(a.ordinal, b.ordinal) AS second FROM {L} a JOIN {L} b ON a.qname = b.qname AND a.flag = 99 AND b.flag = 147")(lambda s, d: A.make_pairs(derive.alignments(s, d).where("flag = 99"), derive.alignments(s, d)))
+query("make_pairs_fetched", f"WITH r AS (SELECT * FROM {L} WHERE flag = 99), n AS (SELECT qname, count(*) AS n, min(ordinal) AS a, max(ordinal) AS b FROM r GROUP BY qname) SELECT qname, a AS first, b AS second FROM n WHERE n = 2 UNION ALL SELECT r.qname, least(r.ordinal, b.ordinal), greatest(r.ordinal, b.ordinal) FROM r JOIN n ON n.qname = r.qname AND n.n = 1 JOIN {L} b ON b.qname = r.qname AND b.flag = 147")(lambda s, d: A.make_pairs(derive.alignments(s, d).where("flag = 99"), derive.alignments(s, d)))
 query("level")(lambda s, d: A.add_levels(derive.alignments(s, d)).select("ordinal", "level"))
 query("level_max", f"SELECT rname, max(n)::INT AS levels FROM (SELECT rname, sum(d) OVER (PARTITION BY rname ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM {STEPS}) GROUP BY rname")(lambda s, d: A.add_levels(derive.alignments(s, d)).where("level IS NOT NULL").groupBy("rname").agg((F.max("level") + 1).alias("levels")))
 query("normalize_refs", f"SELECT ordinal, CASE WHEN rname = '*' THEN '*' ELSE rname END AS rname, rnext FROM {L}")(lambda s, d: A.normalize_references(derive.alignments(s, d).withColumn("rname", F.regexp_replace("rname", "^chr", ""))).select("ordinal", "rname", "rnext"))
