@@ -70,7 +70,7 @@ class MinimalPerfectHash:
 class Tokenizer:
     """Ranks of a byte-level BPE. encode gives ids; decode gives bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the ranks must hold every single byte")
         self.token = {i: b for b, i in ranks.items()}
@@ -155,6 +155,9 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_decimal(text).split()]
 
+    def forget(self) -> None:
+        self._cache.drop()
+
     def decode_decimal(self, ids: str) -> bytes:
         of = self._bytes
         return b"".join([of[x] for x in ids.split(" ")]) if ids else b""
@@ -170,6 +173,10 @@ class _Cache(dict):
         super().__init__()
         self.owner, self.older = owner, {}
 
+    def drop(self) -> None:
+        self.clear()
+        self.older = {}
+
     def turn(self) -> None:
         self.older = dict(self)
         self.clear()
@@ -203,8 +210,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         t = load(path, pattern)
-        for batch, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.encode(x) for x in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        try:
+            for batch, texts in _texts(batches):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.encode(x) for x in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        finally:
+            t.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -227,14 +237,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         t = load(path, pattern)
-        for batch, texts in _texts(batches):
-            n, ids_hex, data_hex = [], [], []
-            for x in texts:
-                ids = t.encode_decimal(x)
-                n.append(ids.count(" ") + 1 if ids else 0)
-                ids_hex.append(sha256(ids.encode()).hexdigest())
-                data_hex.append(sha256(t.decode_decimal(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(data_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch, texts in _texts(batches):
+                n, ids_hex, data_hex = [], [], []
+                for x in texts:
+                    ids = t.encode_decimal(x)
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    ids_hex.append(sha256(ids.encode()).hexdigest())
+                    data_hex.append(sha256(t.decode_decimal(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(data_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            t.forget()  # workers live on between stages
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
