@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,25 @@ def make_pairs(reads: DataFrame, alignments: DataFrame | None = None) -> DataFra
     return both.select("qname", F.col("a").alias("first"), F.col("b").alias("second"))
 
 
+def _color(batches):
+    """(ordinal, level) of reads that come by reference, island and start."""
+    island, free, busy, used = None, [], [], 0
+    for b in batches:
+        out = []
+        for r, i, start, end in zip(*(b.column(k).to_pylist() for k in ("rname", "island", "start", "end"))):
+            if (r, i) != island:
+                island, free, busy, used = (r, i), [], [], 0
+            while busy and busy[0][0] < start:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            if free:
+                level = heapq.heappop(free)
+            else:
+                level, used = used, used + 1
+            heapq.heappush(busy, (end, level))
+            out.append(level)
+        yield pa.RecordBatch.from_arrays([b.column("ordinal"), pa.array(out, pa.int32())], names=["ordinal", "level"])
+
+
 def add_levels(alignments: DataFrame) -> DataFrame:
     """Alignments with `level`: the least row in which a read meets no other, first come first served by coordinate.
 
@@ -76,25 +97,10 @@ def add_levels(alignments: DataFrame) -> DataFrame:
     # touching reads aren't overlapping: an island ends where the next read begins after all ends
     grouped = islands(a.where(F.col("pos") > 0), gap=-1).select("rname", "island", "start", "end", "ordinal")
 
-    def color(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        pdf = pdf.sort_values(["start", "ordinal"])
-        free: list[int] = []
-        busy: list[tuple[int, int]] = []
-        out, used = [], 0
-        for s, e in zip(pdf["start"], pdf["end"]):
-            while busy and busy[0][0] < s:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                level = heapq.heappop(free)
-            else:
-                level, used = used, used + 1
-            heapq.heappush(busy, (e, level))
-            out.append(level)
-        return pd.DataFrame({"ordinal": pdf["ordinal"], "level": out})
-
-    levels = grouped.groupBy("rname", "island").applyInPandas(color, f"ordinal {alignments.schema['ordinal'].dataType.simpleString()}, level int")
+    # many small islands share a task, and stream through it in order; a large one is sorted with spilling
+    streamed = grouped.repartition("rname", F.floor(F.col("island") / 64)).sortWithinPartitions("rname", "island", "start", "ordinal")
+    ordinal = alignments.schema["ordinal"].dataType.simpleString()
+    levels = streamed.mapInArrow(_color, f"ordinal {ordinal}, level int")
     return alignments.join(levels, "ordinal", "left")
 
 

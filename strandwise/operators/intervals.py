@@ -94,7 +94,7 @@ def complement(df: DataFrame, refs: DataFrame, one_base_tail: bool = True) -> Da
     one_base_tail=False leaves out a gap of one base at a reference's end.
     """
     known = refs.select(F.col("name").alias("chr"), F.col("len").cast("long").alias("len"))
-    merged = merge(df).join(known, "chr", "left").withColumn("len", F.when(F.col("len").isNull(), F.raise_error(F.concat(F.lit("unknown chromosome: "), "chr"))).otherwise(F.col("len")))
+    merged = merge(df).join(known, "chr", "left").withColumn("chr", F.when(F.col("len").isNull(), F.raise_error(F.concat(F.lit("unknown chromosome: "), "chr"))).otherwise(F.col("chr")))
     order = Window.partitionBy("chr").orderBy("start")
     heads = merged.select("chr", (F.coalesce(F.lag("end").over(order), F.lit(0)) + 1).alias("start"), (F.col("start") - 1).alias("end"))
     last = known.join(merged.groupBy("chr").agg(F.max("end").alias("m")), "chr", "left")

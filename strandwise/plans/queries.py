@@ -306,23 +306,23 @@ query("validate_variants", f"SELECT id, CASE WHEN pos < 100000 THEN 'pos,' ELSE
 query("realign_variants")(lambda s, d: V.realign(*_reference_and_variants(s, d)).select("id", "pos", "ref", "alt"))
 query("normalize_variants")(lambda s, d: V.normalize(*_reference_and_variants(s, d)).select("id", "alt_index", "pos", "ref", "alt"))
 
-REFERENCE = "SELECT concat('chr', CAST(s_suppkey % 22 + 1 AS STRING)) AS name, repeat(concat('ACGTTTTACGGATATATC', CASE WHEN s_suppkey % 2 = 0 THEN 'GG' ELSE 'CACACACA' END), 60) AS sequence, s_suppkey FROM supplier WHERE s_suppkey <= 22"
+REFERENCE = "SELECT concat('chr', CAST(s_suppkey % 22 + 1 AS STRING)) AS name, repeat(concat('ACGTTTTACGGATATATC', CASE WHEN s_suppkey % 2 = 0 THEN 'GG' ELSE 'CACACACA' END), 60) AS sequence, s_suppkey FROM supplier WHERE s_suppkey < 22"
 
 
 def _reference_and_variants(spark, d):
-    ref = derive.relation(spark, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey <= 22").select("name", "sequence")
+    ref = derive.relation(spark, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22").select("name", "sequence")
     v = derive.relation(spark, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey * 7 % 900 + 20 AS INT) AS pos, o_orderkey % 3 AS k FROM orders")
     seq = V.with_reference(v.withColumn("_n", F.lit(4)), ref, F.col("_n"))
     alts = F.when(c("k") == 0, F.array(F.substring("_ref", 1, 1))).when(c("k") == 1, F.array(F.concat("_ref", F.substring("_ref", 3, 2)), F.lit("G"))).otherwise(F.array(F.concat(F.substring("_ref", 1, 2), F.lit("A"))))
     return seq.where("length(_ref) = 4").select("id", "chr", "pos", c("_ref").alias("ref"), alts.alias("alt"), F.lit("0/1").alias("gt")), ref
 
 
-query("seq_dict", f"SELECT name, len(sequence)::BIGINT AS len, md5(upper(sequence)) AS md5 FROM {derive.duck(REFERENCE)}")(lambda s, d: V.sequence_dictionary(V.chunk(derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey <= 22"), 100)))
+query("seq_dict", f"SELECT name, len(sequence)::BIGINT AS len, md5(upper(sequence)) AS md5 FROM {derive.duck(REFERENCE)}")(lambda s, d: V.sequence_dictionary(V.chunk(derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22"), 100)))
 query("fasta_lookup", f"SELECT o_orderkey AS id, substr(sequence, (o_orderkey % 700 + 1)::INT, 150) AS s FROM orders JOIN {derive.duck(REFERENCE)} ON name = concat('chr', CAST(o_custkey % 10 + 1 AS VARCHAR))")(
-    lambda s, d: V.with_reference(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 150 AS n FROM orders"), derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey <= 22").select("name", "sequence"), F.col("n"), 64).select("id", c("_ref").alias("s"))
+    lambda s, d: V.with_reference(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 150 AS n FROM orders"), derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22").select("name", "sequence"), F.col("n"), 64).select("id", c("_ref").alias("s"))
 )
 query("ref_match", f"SELECT o_orderkey AS id, upper(substr(sequence, (o_orderkey % 700 + 1)::INT, 2)) = 'AC' AS same FROM orders JOIN {derive.duck(REFERENCE)} ON name = concat('chr', CAST(o_custkey % 10 + 1 AS VARCHAR))")(
-    lambda s, d: V.same_ref(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 'ac' AS ref FROM orders"), derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey <= 22").select("name", "sequence")).where("same IS NOT NULL").select("id", "same")
+    lambda s, d: V.same_ref(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 'ac' AS ref FROM orders"), derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22").select("name", "sequence")).where("same IS NOT NULL").select("id", "same")
 )
 
 # --- streams
