@@ -6,6 +6,7 @@ maximal run of bytes other than 0x20 and 0x09-0x0D, never crossing a document.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -124,7 +125,16 @@ def span_hashes(tokens: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
     return mix((prefix[start + length] - prefix[start]) * ipw[start] + length.astype(np.uint64))
 
 
-def pieces(batches, text: str = "text", most: int = 8 << 20):
+def trim() -> None:
+    """Gives freed memory back to the system; Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc system
+        pass
+
+
+def pieces(batches, text: str = "text", most: int = 6 << 20):
     """Record batches cut so that each holds about `most` bytes of text (one document at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -135,6 +145,7 @@ def pieces(batches, text: str = "text", most: int = 8 << 20):
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    trim()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces
+from ._common import pieces, trim
 
 _M64 = (1 << 64) - 1
 _SHIFT = 40
@@ -157,6 +157,7 @@ class Tokenizer:
 
     def forget(self) -> None:
         self._cache.drop()
+        trim()
 
     def decode_decimal(self, ids: str) -> bytes:
         of = self._bytes
