@@ -7,8 +7,8 @@ are rejected by their codes alone; all others are recomputed exactly in double p
 
 Pairs come from cells (centroids fitted on a bounded sample). A vector is indexed in its nearest cell and asks those
 cells that can be nearest to a vector within the threshold's angle: moving by that angle in a direction u, the lead
-s_home - s_cell of its own cell must fall by the projection of u on the difference of the centroids, which the same
-confidence bounds. Cells are split into blocks of fixed size, so a crowded cell is many small tiles; equal vectors are
+s_home - s_cell of its own cell must fall by the projection of u on the difference of the centroids, which is at most
+that difference's length (Cauchy-Schwarz), whatever the vectors are. Cells are split into blocks of fixed size, so a crowded cell is many small tiles; equal vectors are
 one representative with a count. No pairs leave a tile: it returns a count and a group for each vector.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without an id, link with
@@ -48,7 +48,7 @@ class Cells:
         self.centroids = c
         self.gram = c @ c.T
 
-    def place(self, x: np.ndarray, cosine: float, epsilon: float = EPSILON):
+    def place(self, x: np.ndarray, cosine: float):
         """(home cell of each unit vector, (row, cell) of the other cells that it asks)."""
         s = x @ self.centroids.T
         rows = np.arange(len(x))
@@ -57,8 +57,8 @@ class Cells:
         # squared length of centroid - home centroid, without its part along x
         apart = np.maximum(0, 2 - 2 * self.gram[home] - lead**2)
         slope = math.sqrt(1 - cosine**2) / cosine if cosine > 0 else math.inf
-        share = min(1.0, epsilon / math.sqrt(max(1, x.shape[1] - 1)))
-        asks = lead <= slope * share * np.sqrt(apart) + 1e-9
+        # the allowance covers the rounding of apart, whose root is taken
+        asks = lead <= slope * np.sqrt(apart) + 1e-7
         asks[rows, home] = False
         # a pair meets once, in the later of the two homes
         asks &= np.arange(len(self.centroids))[None, :] > home[:, None]

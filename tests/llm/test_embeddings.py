@@ -58,3 +58,19 @@ def test_estimates_are_unbiased():
     error = (found - x @ x.T)[off]
     assert abs(error.mean()) < 2e-3
     assert (np.abs(found - x @ x.T) <= half[None, :] + 1e-5)[off].mean() > 0.999
+
+
+@pytest.mark.parametrize("d", [64, 256])
+def test_low_rank_vectors_lose_no_links(spark, d):
+    """Neighbours that differ within a subspace of few dimensions, in more than one cell."""
+    rng = np.random.default_rng(5)
+    basis = np.linalg.qr(rng.normal(size=(d, 8)))[0].T
+    low = rng.normal(size=(1200, 8))
+    low = np.concatenate([low, low + rng.normal(size=low.shape) * 0.35 * np.linalg.norm(low, axis=1, keepdims=True) / np.sqrt(8)])
+    x = (low @ basis).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, cell_rows=300, block_rows=256).collect()}
+    assert got == dict(enumerate(near.sum(axis=1).tolist()))
