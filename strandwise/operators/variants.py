@@ -111,7 +111,7 @@ def realign(variants: DataFrame, reference: DataFrame, window: int = 100) -> Dat
     """Variants trimmed and moved as far left as they go; those with other than plain alleles stay.
 
     The bases to the left come in windows: what still moves at the edge of its window is looked up again with one 64
-    times as wide, and moves no further than that.
+    times as wide, and then with more of that width, until nothing moves.
     """
     columns = variants.columns
     kinds = F.transform("alt", lambda a: v.allele_type(F.col("ref"), a))
@@ -127,13 +127,15 @@ def realign(variants: DataFrame, reference: DataFrame, window: int = 100) -> Dat
         rows = [shift(int(p), r, list(a), x or "") for p, r, a, x in zip(pos, ref, alt, left)]
         return pd.DataFrame(rows, columns=["pos", "ref", "alt", "more"])
 
-    for _ in range(2):
+    while True:
         near = with_reference(todo, reference, F.lit(1) * F.least(F.lit(size), F.col("pos") - 1), start=F.greatest(F.col("pos") - size, F.lit(1)), out="_left")
         moved = near.withColumn("_m", move("pos", "ref", "alt", "_left"))
         new = [F.col(f"_m.{k}").alias(k) if k in ("pos", "ref", "alt") else F.col(k) for k in columns]
         done = done.unionByName(moved.where("NOT _m.more").select(*new))
-        todo, size = moved.where("_m.more").select(*new), size * 64
-    return done.unionByName(todo)
+        todo = moved.where("_m.more").select(*new).localCheckpoint(eager=True)
+        if todo.isEmpty():
+            return done
+        size = window * 64
 
 
 def normalize(variants: DataFrame, reference: DataFrame, window: int = 100) -> DataFrame:

@@ -77,6 +77,12 @@ def test_realign_and_split(spark):
     assert [(x.alt, x.gt, x.a, x.r) for x in s] == [(["A"], "0/0", [5], [1, 2]), (["C"], "0/1", [6], [1, 3])]
 
 
+def test_realign_through_long_repeats(spark):
+    ref = spark.createDataFrame([("r", "GGG" + "CA" * 2000 + "GGG")], "name string, sequence string")
+    v = spark.createDataFrame([(1, "r", 4000, "CAC", ["C"]), (2, "r", 3000, "CAC", ["C"]), (3, "r", 8, "CAC", ["C"])], "id int, chr string, pos int, ref string, alt array<string>")
+    assert sorted((r.id, r.pos, r.ref, r.alt) for r in V.realign(v, ref, window=10).collect()) == [(i, 3, "GCA", ["G"]) for i in (1, 2, 3)]
+
+
 def test_catalogue_without_llm():
     import __spark_entry__ as e
 
