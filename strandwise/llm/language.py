@@ -1,8 +1,8 @@
 """Language identification in two levels: a family first, then one-versus-one linear support vector machines within it.
 
 Features are frequencies of byte trigrams of the whole text (A-Z lower-cased, bytes other than letters as one blank),
-hashed to DIMS places. The machines are fitted on the driver from at most `per_language` labelled documents of each
-language, chosen by hash; prediction streams all documents and sums weights over all their trigrams.
+hashed to DIMS places. The machines are fitted on the driver from the features of about `per_language` labelled documents
+of each language, chosen by hash and read whole by the executors; prediction streams all documents and sums weights over all their trigrams.
 
 Defined results: `und` with score 0 for a null text or one without a letter; without labelled documents all are `und`;
 a null doc_id counts as the empty text when documents are held out; repeated rows are predicted alike; an empty table
@@ -11,6 +11,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -86,12 +87,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e
 class Model:
     """langs, families, and the weights of the machines: one a family (against the rest), then one a pair within a family."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(x) for x in self.langs})
         self.members = {f: [x for x in self.langs if family_of(x) == f] for f in self.families}
         self.pairs = [(a, b) for f in self.families for a, b in itertools.combinations(self.members[f], 2)]
-        x, lang = features(texts), np.array(langs, dtype=object)
+        lang = np.array(langs, dtype=object)
         scale = (1 / (x.std(axis=0) + 1e-4) / np.sqrt(DIMS)).astype(np.float32)
         rows, owner = [], np.array([family_of(v) for v in langs], dtype=object)
         for f in self.families:
@@ -148,19 +149,34 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000) -> Model | None:
-    """Fits on at most about per_language documents of each language, of each at most most_chars characters; lang and text only."""
+def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
+    """Fits on the whole texts of about per_language documents of each language; lang and text only."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit("lid"), "doc_id", "lang"), F.lit(1_000_003)) / 1_000_003.0
-    chosen = labelled.where(draw < share[F.col("lang")]).select(F.substring("text", 1, most_chars).alias("text"), "lang").collect()
-    if not chosen:
-        chosen = labelled.select(F.substring("text", 1, most_chars).alias("text"), "lang").limit(per_language).collect()
-    chosen = sorted(((r["text"], r["lang"]) for r in chosen), key=lambda r: (r[1], r[0]))
-    return Model([r[0] for r in chosen], [r[1] for r in chosen])
+
+    def run(batches):
+        for batch in pieces(batches, "text", 4 << 20):
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = part.column("text").to_pylist()
+                # sparse: the places that occur, and their frequencies
+                found = [(at := np.flatnonzero(x), x[at]) for x in features(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang"), pa.array([at.astype(np.uint16).tobytes() for at, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())],
+                    names=["lang", "at", "value", "digest"],
+                )
+
+    read = lambda df: df.select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "lang string, at binary, value binary, digest binary").collect()
+    chosen = read(labelled.where(draw < share[F.col("lang")])) or read(labelled.limit(per_language))
+    chosen.sort(key=lambda r: (r["lang"], bytes(r["digest"])))
+    x = np.zeros((len(chosen), DIMS), np.float32)
+    for i, r in enumerate(chosen):
+        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+    return Model(x, [r["lang"] for r in chosen])
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:

@@ -185,3 +185,10 @@ def test_language_hard(spark, hard):
     assert language.fit(hard.limit(0)) is None
     assert {r.lang_pred for r in language.predict(hard, None, ["doc_id"]).collect()} == {"und"}
     assert language.predict(hard.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_language_learns_from_whole_texts(spark):
+    rows = [(i, lang, "lorem " * 4000 + words * 9000) for i in range(4) for lang, words in (("en", "the cat sat "), ("fi", "yksi kissat "))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "yksi kissat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, model, ["doc_id"]).collect()} == {1: "en", 2: "fi"}
