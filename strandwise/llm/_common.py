@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -209,6 +209,12 @@ class Folder:
             system.delete_dir(root)
 
 
+def row_key(columns: list[str]) -> Column:
+    """128 hash bits of a row; which columns are null counts."""
+    both = lambda: [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit("a"), *both()).alias("a"), F.xxhash64(F.lit("b"), *both()).alias("b"))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b): (id, component), the component being the smallest id.
 

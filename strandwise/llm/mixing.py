@@ -5,8 +5,8 @@ prefix sums are taken within a range and over the ranges' totals, and each sourc
 after its whole epochs.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; a null
-doc_id is keyed as the empty text; repeated rows are separate documents; an empty table gives no rows; extra
-columns are ignored.
+doc_id is keyed by its text; repeated rows are separate documents, and rows of one id go by size, then (as documents) by
+a hash of the row; an empty table gives no rows; extra columns are ignored, or pass as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint
+from ._common import checkpoint, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    """60 hash-random bits of an id, equal in every run."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 hash-random bits of an id, or of the text where there is none; equal in every run."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text.cast("string")), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
         "doc_id",
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        random_key(F.col("doc_id"), seed).alias("key"),
+        random_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
         *[c for c in keep if c != "doc_id"],
     )
     sized = checkpoint(sized)  # the texts are read once
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("offset", F.coalesce(F.sum("part_size").over(before), F.lit(0))).drop("part_size")
     targets = source_targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most)
-    within = Window.partitionBy("skey", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("skey", "part").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranged = sized.withColumn("upto", F.sum("size").over(within)).join(parts.join(targets, "skey"), ["skey", "part"])
     budget, whole = F.floor("target"), F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))
     rest = budget - whole * F.col("source_size")
@@ -81,17 +81,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     So each source exceeds its budget by less than one document. The texts move once, to meet their counts.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(*columns))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", row_key(docs.columns).alias("row_key"))
     copies = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    taken = mix(keyed, keep=("_key",), **options).where("taken > 0").groupBy("_key").agg(F.sum(copies).cast("int").alias("_copies"))
-    return keyed.dropDuplicates(["_key"]).join(taken.hint("merge"), "_key").select(*columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_epoch")).select(*columns)
+    taken = mix(keyed, keep=("row_key",), **options).where("taken > 0").groupBy("row_key").agg(F.sum(copies).cast("int").alias("copies"))
+    rows = keyed.select("row", "row_key").dropDuplicates(["row_key"]).join(taken.hint("merge"), "row_key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("epoch")).select("row.*")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || text, '')), 1, 15))::BIGINT AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, source_size * 2.0::DOUBLE AS cap, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
@@ -99,7 +99,7 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(c
         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE level * weight < cap) * weight, cap)) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
-        (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+        (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   ((budget // greatest(source_size, 1)) * size + greatest(0, least(size, budget - (budget // greatest(source_size, 1)) * source_size - (upto - size))))::BIGINT AS taken
