@@ -13,7 +13,8 @@ Links are then counted by class, and components of links found over a spanning f
 
 Defined results: a null or empty text has an empty set, no links and is its own component; fewer than n words make one
 n-gram; repeated rows are documents that link with each other; a null doc_id takes part, but never names a component
-unless all its members lack one; an empty table gives no rows; extra columns are ignored.
+unless all its members lack one; an empty table gives no rows; extra columns are ignored, or pass as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U64, checkpoint, components, gram_hashes, mix, pieces, release, word_hashes
+from ._common import U64, checkpoint, components, gram_hashes, mix, pieces, release, row_key, word_hashes
 
 SKETCH_BITS = 22
 FILTER_BITS = 26
@@ -208,16 +209,16 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, code: np.ndarray, sets: list[
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id."""
-    return _grouped(docs.withColumn("key", F.lit(0).cast("long")), n, percent, block_grams).select("doc_id", "n_shingles", "n_similar", "component_id")
+    return _grouped(docs.select("doc_id", "text", F.lit("").alias("key")), n, percent, block_grams).select("doc_id", "n_shingles", "n_similar", "component_id")
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that of the smallest id; rows that are equal in all columns count once."""
-    columns = docs.columns
-    keyed = docs.withColumn("key", F.xxhash64(*columns))
+    hashes = row_key(docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.concat(F.hex(hashes["a"]), F.lit("/"), F.hex(hashes["b"])).alias("key"))
     groups = _grouped(keyed, **options).select("key", "doc_id", "group")
     kept = groups.groupBy("group").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    return keyed.dropDuplicates(["key"]).join(kept.select("key").hint("merge"), "key", "left_semi").select(*columns)
+    return keyed.select("row", "key").dropDuplicates(["key"]).join(kept.select("key").hint("merge"), "key", "left_semi").select("row.*")
 
 
 def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 500_000) -> DataFrame:
@@ -233,7 +234,7 @@ def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int =
             g, bounds = shingle_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(g, bounds), pa.int64())], names=["doc_id", "key", "n_shingles", "class"])
 
-    named = checkpoint(docs.mapInArrow(name, f"doc_id {id_type}, key long, n_shingles long, class long"))
+    named = checkpoint(docs.mapInArrow(name, f"doc_id {id_type}, key string, n_shingles long, class long"))
     classes = checkpoint(named.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
 
     width = float(np.log(100 / percent) * 1.001) if percent < 100 else 1.0
@@ -330,7 +331,7 @@ def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int =
     names = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = of.join(names, "component").select("class", F.col("n_shingles").alias("_n"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id", "component")
     out = named.join(of, (named["class"] == of["class"]) & (named["n_shingles"] == of["_n"]), "left")
-    return out.select("doc_id", "key", F.coalesce("component", "key").alias("group"), "n_shingles", F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", F.coalesce(F.col("component").cast("string"), "key").alias("group"), "n_shingles", F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = r"""
