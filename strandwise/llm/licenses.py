@@ -1,8 +1,10 @@
 """Licence scans: Aho-Corasick over the words of whole texts, and a shunting-yard parser for licence expressions.
 
 A word is a maximal run of bytes other than 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F, after A-Z are lower-cased. Phrases
-match whole consecutive words. After an identifier tag (`SPDX-License-Identifier:`) the rest of the line is read as an
-expression of licence names with `and`, `or`, `with` and brackets; its names become labels.
+match whole consecutive words. After an identifier tag and its colon (`SPDX-License-Identifier:`) the rest of the line is
+read as an expression of licence names with `and`, `or`, `with` and brackets, as far as it goes: it ends with a name that
+a full stop follows, before a name that follows a name, and where a bracket closes that was open before the tag. Its names
+become labels.
 
 score is how freely the evidence lets a text be used: each notice and each expression has a rating from 0 to 1, an
 `or` takes the better and an `and` the worse of its sides, `with` takes its licence's rating halfway to 1, and a text
@@ -72,7 +74,7 @@ def to_postfix(expression: str) -> list[str]:
     """Shunting-yard: the expression's names and operators in postfix order; ValueError if it is malformed."""
     out, ops, operand = [], [], False
     for token in _TOKEN.findall(expression):
-        word = token.lower()
+        word = token.lower().rstrip(".:-") or token
         if word in _PRECEDENCE:
             if not operand:
                 raise ValueError("an operator without a left side")
@@ -97,6 +99,8 @@ def to_postfix(expression: str) -> list[str]:
                 break  # prose after the expression
             out.append(word)
             operand = True
+            if token.endswith(".") and "(" not in ops:
+                break
     if not operand or "(" in ops:
         raise ValueError("an unfinished expression")
     return out + ops[::-1]
@@ -117,6 +121,16 @@ def evaluate(expression: str) -> tuple[list[str], float]:
     return stack[0]
 
 
+def inner(line: bytes, opened: int) -> bytes:
+    """The line up to the bracket that closes one of those opened before."""
+    depth = 0
+    for i, c in enumerate(line if opened > 0 else b""):
+        depth += (c == 0x28) - (c == 0x29)
+        if depth < 0:
+            return line[:i]
+    return line
+
+
 def build_automaton(phrases=PHRASES, tag: str = TAG) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase, (label, base, rate) in phrases.items():
@@ -149,18 +163,21 @@ def scan_texts(column: pa.Array, automaton: ahocorasick.Automaton) -> dict[str,
     for end, (back, label, base, rate) in automaton.iter(joined.tobytes().decode("latin-1")):
         w = int(np.searchsorted(at[:-1], end - back, "left"))
         d = int(doc[w])
-        if out["labels"][d] is None:
-            out["labels"][d], out["base"][d], out["rate"][d] = set(), set(), 1.0
         if label is None:
             stop = int(offsets[d + 1])
-            line = bytes(data[ends[w + 2] : stop]).split(b"\n", 1)[0] if stop > ends[w + 2] else b""
+            line = bytes(data[ends[w + 2] : stop]).split(b"\n", 1)[0].lstrip(b" \t")
+            if not line.startswith(b":"):  # the words, but not the tag
+                continue
             try:
-                names, rate = evaluate(line.decode("utf-8", "replace").lstrip(" :\t"))
+                ahead = bytes(data[offsets[d] : starts[w]]).rpartition(b"\n")[2]
+                names, rate = evaluate(inner(line, ahead.count(b"(") - ahead.count(b")")).decode("utf-8", "replace"))
             except ValueError:
                 names, rate = ["malformed"], 0.0
-            out["labels"][d] |= {x.replace(",", "") for x in names}
         else:
-            out["labels"][d].add(label)
+            names = [label]
+        if out["labels"][d] is None:
+            out["labels"][d], out["base"][d], out["rate"][d] = set(), set(), 1.0
+        out["labels"][d] |= {x.replace(",", "") for x in names}
         out["rate"][d] = min(out["rate"][d], rate)
         if base:
             place = w - int(first[d])
