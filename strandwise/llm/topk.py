@@ -1,6 +1,6 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Components become integers floor(scale * x). The index cuts each vector's postings (one a dimension) into segments by
+Components become integers floor(scale * x), kept as doubles. The index cuts each vector's postings (one a dimension) into segments by
 the binary logarithm of the impact, so a segment holds all postings of a block whose impact lies in [2^j, 2^(j+1)).
 Segments are processed by descending impact for a block of queries at once; after each, a candidate's score is known
 within +-|w| * |rest|, w the query's part in the dimensions and rest the norm of the candidate's postings that are
@@ -12,12 +12,14 @@ rows a query as its result. Blocks have a fixed number of rows, so memory doesn'
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows without an id take no part;
 vectors are compared with those of as many dimensions; ties go to the smaller id; repeated rows with an id other than
-the query's are separate candidates, and repeated query ids are queries once each per different vector; an empty table
-gives no rows; extra columns are ignored.
+the query's are separate candidates, and repeated query ids are queries once each per different vector; scores are exact
+for components of any size, and one that doesn't fit a long is an error; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -40,14 +42,18 @@ def segments(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, few: int = 64) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's k best in the block, ties to the smaller id, the query's own id left out."""
+    """(row of q, id, score) of each query's k best in the block, ties to the smaller id, the query's own id left out."""
     n = len(ids)
+    top = float(max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)))
+    if top * top * x.shape[1] >= 2**52:  # beyond what doubles add up exactly
+        return _search_large(ids, x, query_ids, q, k)
     acc = np.zeros((len(q), n))
     norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
     own = query_ids[:, None] == ids[None, :]
     acc[own] = -np.inf
     live = np.arange(len(q))
     members: dict[int, np.ndarray] = {}
+    x, q = np.asarray(x, np.float64), np.asarray(q, np.float64)
     for here, rest in segments(x):
         acc[live] += q[live].astype(np.float64) @ here.T
         bound = norm[live, None] * rest[None, :] + 1e-6
@@ -68,7 +74,18 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     for i, at in members.items():
         score = whole[at] @ q[i].astype(np.int64)
         best = np.lexsort((ids[at], -score))[:k]
-        out += [(int(query_ids[i]), int(ids[at[b]]), int(score[b])) for b in best]
+        out += [(i, int(ids[at[b]]), int(score[b])) for b in best]
+    return out
+
+
+def _search_large(ids, x, query_ids, q, k):
+    whole, out = [[int(v) for v in row] for row in x], []
+    for i, row in enumerate(q):
+        row = [int(v) for v in row]
+        scores = sorted((-sum(map(int.__mul__, row, c)), int(v)) for v, c in zip(ids, whole) if v != query_ids[i])[:k]
+        if any(abs(s) >= 2**63 for s, _ in scores):
+            raise OverflowError(f"a score of query {query_ids[i]} doesn't fit a long")
+        out += [(i, v, -s) for s, v in scores]
     return out
 
 
@@ -84,7 +101,7 @@ def _pack(prefix: str, rows: int):
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([len(xs[0])], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(xs, np.int64).tobytes()], pa.binary())],
+                [pa.array([block], pa.int64()), pa.array([len(xs[0])], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(xs, np.float64).tobytes()], pa.binary())],
                 names=[f"{prefix}_block", "dims", f"{prefix}_ids", f"{prefix}_x"],
             )
 
@@ -106,7 +123,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     """query_id, rank, vec_id, score; queries and candidates are (vec_id, embedding)."""
 
     def integers(df: DataFrame) -> DataFrame:
-        x = F.transform("embedding", lambda e: F.floor(F.lit(scale) * e.cast("double")))
+        x = F.transform("embedding", lambda e: F.lit(float(scale)) * e.cast("double"))
         good = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
         return df.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(good).select(F.col("vec_id").cast("long").alias("id"), x.alias("v"))
 
@@ -124,13 +141,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     def run(batches):
         for b in batches:
             for dims, ci, cx, qi, qx in zip(*(b.column(c).to_pylist() for c in ("dims", "c_ids", "c_x", "q_ids", "q_x"))):
-                shape = lambda raw, d=dims: np.frombuffer(raw, np.int64).reshape(-1, d)
-                found = search_block(np.frombuffer(ci, np.int64), shape(cx), np.frombuffer(qi, np.int64), shape(qx), k)
+                shape = lambda raw, d=dims: np.floor(np.frombuffer(raw).reshape(-1, d))
+                ids, wanted = np.frombuffer(qi, np.int64), shape(qx)
+                found = search_block(np.frombuffer(ci, np.int64), shape(cx), ids, wanted, k)
                 q, v, s = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                # a query is its id and its vector
+                vector = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[list(q)], pa.int64()), pa.array([vector[i] for i in q], pa.binary()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vector", "vec_id", "score"])
 
-    found = pairs.select("dims", "c_ids", "c_x", "q_ids", "q_x").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.select("dims", "c_ids", "c_x", "q_ids", "q_x").mapInArrow(run, "query_id long, vector binary, vec_id long, score long")
+    order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
