@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows.
 
-A conversation's rows are taken by turn. Prefix sums of turn sizes (words, plus one a turn) choose turn-aligned spans:
-a turn belongs to the window in whose stretch of `budget` its first word falls. Each window repeats the first system
-turn and up to `history` turns before it (as far as they fit in `history_budget`), with their targets masked, so every
-assistant text is a target once.
+A conversation's rows are taken by turn. Prefix sums of turn sizes (words `[^\x20\x09-\x0D]+`, plus one a turn) choose
+turn-aligned spans: a window ends before the turn with which it would exceed `budget`, what it repeats included. Each
+window repeats the first system turn and up to `history` turns before it, as far as they fit in `history_budget` and
+leave room for its first own turn; their targets are masked, so every assistant text is a target once. A window exceeds
+the budget only if a turn and the system turn do so by themselves.
 
 Template: [SYS]..[/SYS], [INST]..[/INST], [ANS]..[/ANS], and [ROLE x]..[/ROLE] for other roles, x escaped too. In
 texts a backslash stands before each backslash, [ and <, so control strings in a text are never read as such, and
@@ -29,6 +30,7 @@ ROLES = {v: k for k, v in TAGS.items()}
 _SPECIAL = re.compile(r"([\\\[<])")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"\[(SYS|INST|ANS|ROLE (?:[^\\\]]|\\.)*)\]((?:[^\\\[]|\\.)*)\[/(?:SYS|INST|ANS|ROLE)\]", re.S)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOWS = "conv_id long, window long, text string, loss array<struct<start:long,length:long>>, repeated long"
 
 
@@ -81,6 +83,10 @@ class _Window:
         return self.conv, self.number, "".join(self.parts), self.loss, self.repeated
 
 
+def words(text: str) -> int:
+    return sum(1 for _ in _WORD.finditer(text))
+
+
 def windows_of(rows, budget: int, history: int, history_budget: int):
     """Window rows of (conv_id, role, text) rows that come by conversation and turn."""
     none = object()
@@ -90,21 +96,21 @@ def windows_of(rows, budget: int, history: int, history_budget: int):
         if c != conv or window is None:
             if window is not None:
                 yield window.row()
-            conv, before, system, recent, window = c, 0, None, [], None
-        size = len(text.split()) + 1
-        number = before // budget
-        if window is None or number != window.place:
+            conv, before, first, system, recent, window = c, 0, 0, None, [], None
+        size = words(text) + 1
+        if window is None or before + size - first > budget:
             if window is not None:
                 yield window.row()
-            kept, room = [], history_budget
+            held = words(system) + 1 if system is not None else 0
+            kept, room = [], min(history_budget, budget - held - size)
             for n, r, t in reversed(recent):
                 if (system is not None and r == "system" and t == system) or n > room:
                     break
                 room -= n
+                held += n
                 kept.append((r, t))
-            fresh = _Window(c, 0 if window is None else window.number + 1, ([("system", system)] if system is not None else []) + kept[::-1])
-            fresh.place = number
-            window = fresh
+            window = _Window(c, 0 if window is None else window.number + 1, ([("system", system)] if system is not None else []) + kept[::-1])
+            first = before - held
         window.add(role, text, role == "assistant")
         if role == "system" and system is None:
             system = text
