@@ -1,7 +1,7 @@
 """Language identification in two levels: a family first, then one-versus-one linear support vector machines within it.
 
 Features are frequencies of byte trigrams of the whole text (A-Z lower-cased, bytes other than letters as one blank),
-hashed to DIMS places. The machines are fitted on the driver from the features of about `per_language` labelled documents
+hashed to DIMS places. The machines are fitted on the driver from the features of at most `per_language` labelled documents
 of each language, chosen by hash and read whole by the executors; prediction streams all documents and sums weights over all their trigrams.
 
 Defined results: `und` with score 0 for a null text or one without a letter; without labelled documents all are `und`;
@@ -17,7 +17,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import pieces, text_buffers
@@ -150,13 +150,20 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
-    """Fits on the whole texts of about per_language documents of each language; lang and text only."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    """Fits on the whole texts of at most per_language documents of each language; lang and text only.
+
+    Documents are drawn by a hash of all that is known of them; that of the least hash always is, so no language is lost,
+    and the rank within a language bounds the sample where one document comes many times.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("lid"), F.col("doc_id").isNull(), "doc_id", "lang", "text"), F.lit(1 << 40)) / float(1 << 40)
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", draw.alias("draw"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.lit("lid"), "doc_id", "lang"), F.lit(1_000_003)) / 1_000_003.0
+    # a little more than wanted, for the rank to cut
+    upto = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], max(r["least"], min(1.0, 1.1 * (per_language + 20) / r["n"])))])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.sha2("text", 256)))
+    drawn = labelled.where(F.col("draw") <= upto[F.col("lang")]).withColumn("rank", rank).where(F.col("rank") <= per_language)
 
     def run(batches):
         for batch in pieces(batches, "text", 4 << 20):
@@ -170,8 +177,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model | None:
                     names=["lang", "at", "value", "digest"],
                 )
 
-    read = lambda df: df.select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "lang string, at binary, value binary, digest binary").collect()
-    chosen = read(labelled.where(draw < share[F.col("lang")])) or read(labelled.limit(per_language))
+    chosen = drawn.select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "lang string, at binary, value binary, digest binary").collect()
     chosen.sort(key=lambda r: (r["lang"], bytes(r["digest"])))
     x = np.zeros((len(chosen), DIMS), np.float32)
     for i, r in enumerate(chosen):
@@ -183,6 +189,8 @@ def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFra
     """`columns` of docs, with lang_pred and score; the model is a few hundred kilobytes, whatever the data."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    if {"lang_pred", "score", "_text"} & {c.lower() for c in columns}:
+        raise ValueError("lang_pred, score and _text are columns of the result; pack the row as one column")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(c) for c in columns], F.col("text").alias("_text"))
     schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
