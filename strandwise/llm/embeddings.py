@@ -13,7 +13,8 @@ one representative with a count. No pairs leave a tile: it returns a count and a
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without an id, link with
 nothing and are kept; vectors of different lengths never link; repeated rows and repeated ids are vectors of their own;
-an empty table gives no rows; extra columns are ignored.
+components may be as small or large as doubles are (a vector is scaled by a power of two, exactly); an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,6 +66,11 @@ class Cells:
         return home, np.nonzero(asks)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors by powers of two, so that no square over- or underflows where it counts; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def encode(x: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes as bits, correction factors, rotated vectors) of unit vectors."""
     turned = x @ rotation
@@ -96,6 +102,16 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, cosine: float
     return i[sure], j[sure]
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """A vector's bytes, as singles if it is made of such."""
+    small = v.astype(np.float32)
+    return small.tobytes() if (small == v).all() else v.tobytes()
+
+
+def _unpack(raw: bytes, d: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32).astype(np.float64) if len(raw) == 4 * d else np.frombuffer(raw)
+
+
 def _blocks(kind: str, rows: int):
     """Rows sorted by cell, packed to one row a block."""
 
@@ -104,7 +120,7 @@ def _blocks(kind: str, rows: int):
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([number], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(xs)], pa.binary())],
+                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([number], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(xs) if len({*map(len, xs)}) == 1 else b"".join(_unpack(x, cell[0]).tobytes() for x in xs)], pa.binary())],
                 names=["dims", "cell", f"{kind}_block", f"{kind}_ids", f"{kind}_copies", f"{kind}_x"],
             )
 
@@ -133,8 +149,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 10
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     good = F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("e", lambda v: v != 0)
-    named = checkpoint(vectors.withColumn("good", F.coalesce(good, F.lit(False))).select("vec_id", F.when(F.col("good"), F.xxhash64("e")).alias("class"), F.when(F.col("good"), F.col("e")).alias("e")))
-    classes = checkpoint(named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("e").alias("e")))
+    vectors = vectors.withColumn("good", F.coalesce(good, F.lit(False)))
+    # classes are equal vectors, named by a hash under which no two classes are alike
+    for seed in range(8):
+        named = checkpoint(vectors.select("vec_id", F.when(F.col("good"), F.xxhash64(F.lit(seed), "e")).alias("class"), F.when(F.col("good"), F.col("e")).alias("e")))
+        classes = checkpoint(named.where("class IS NOT NULL").groupBy("class", "e").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")))
+        if classes.count() == classes.select("class").distinct().count():
+            break
+    else:
+        raise RuntimeError("hashes of vectors collide")
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("e").alias("d")).count().collect()}
     total = sum(sizes.values())
     if not total:
@@ -144,7 +167,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 10
     sample: dict[int, list] = {}
     for r in sorted(drawn.select("class", "e").limit(2 * sample_rows).collect()):
         sample.setdefault(len(r["e"]), []).append(r["e"])
-    models = {d: Cells(np.array(sample.get(d) or np.eye(d)[:1]), min(most_cells, math.ceil(n / cell_rows))) for d, n in sizes.items()}
+    models = {d: Cells(scaled(np.array(sample.get(d) or np.eye(d)[:1])), min(most_cells, math.ceil(n / cell_rows))) for d, n in sizes.items()}
     shared = spark.sparkContext.broadcast(models)
 
     def place(batches):
@@ -152,14 +175,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 10
             lengths = pa.compute.list_value_length(b.column("e")).to_numpy()
             for d in np.unique(lengths):
                 part = b.filter(pa.array(lengths == d))
-                x = part.column("e").flatten().to_numpy().reshape(-1, d)
+                x = scaled(part.column("e").flatten().to_numpy().reshape(-1, d))
                 home, (row, cell) = shared.value[int(d)].place(x / np.linalg.norm(x, axis=1, keepdims=True), cosine)
                 own, copies = part.column("class").to_numpy(), part.column("copies").to_numpy()
                 rows, cells = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
                 for a in range(0, len(rows), 20_000):
                     r = rows[a : a + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(r), d), pa.int32()), pa.array(cells[a : a + 20_000], pa.int32()), pa.array(np.arange(a, a + len(r)) < len(x)), pa.array(own[r]), pa.array(copies[r]), pa.array([v.tobytes() for v in x[r]], pa.binary())],
+                        [pa.array(np.full(len(r), d), pa.int32()), pa.array(cells[a : a + 20_000], pa.int32()), pa.array(np.arange(a, a + len(r)) < len(x)), pa.array(own[r]), pa.array(copies[r]), pa.array([_pack(v) for v in x[r]], pa.binary())],
                         names=["dims", "cell", "home", "class", "copies", "x"],
                     )
 
@@ -175,7 +198,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 10
     def link(batches):
         for batch in batches:
             for d, ai, ac, ax, bi, bc, bx, same in zip(*(batch.column(c).to_pylist() for c in (*columns, "same"))):
-                a, b = (np.frombuffer(x).reshape(-1, d) for x in (ax, bx))
+                a, b = (_unpack(x, d * (len(i) // 8)).reshape(-1, d) for x, i in ((ax, ai), (bx, bi)))
                 i, j = tile_pairs(a, b, shared.value[d].rotation, cosine, same)
                 if not len(i):
                     continue
