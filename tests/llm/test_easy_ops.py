@@ -192,3 +192,95 @@ def test_language_learns_from_whole_texts(spark):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "yksi kissat")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in language.predict(docs, model, ["doc_id"]).collect()} == {1: "en", 2: "fi"}
+
+
+def test_language_decisions_brute_force():
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "nl", "fr", "es", "it", "fi", "xx"]
+    model = language.Model(rng.random((64, language.DIMS)).astype(np.float32), [langs[i % 8] for i in range(64)])
+    margins = rng.normal(size=(400, len(model.families) + len(model.pairs)))
+    got, score = model.decide(margins)
+    for row, lang, s in zip(margins, got, score):
+        family = model.families[max(range(len(model.families)), key=lambda k: row[k])]
+        best = sorted(row[: len(model.families)])
+        gap, votes, least = best[-1] - best[-2], dict.fromkeys(model.members[family], 0.0), {}
+        for j, pair in enumerate(model.pairs):
+            if pair[0] in votes:
+                m = row[len(model.families) + j]
+                for x, own in zip(pair, (m, -m)):
+                    votes[x] += (own > 0) + 1e-3 * np.tanh(own)
+                    least[x] = min(least.get(x, np.inf), own)
+        want = max(votes, key=lambda x: votes[x])
+        assert lang == want
+        assert abs(s - 1 / (1 + np.exp(-2 * min(gap, 2 * least.get(want, np.inf))))) < 1e-9
+
+
+def test_language_without_ids_and_with_copies(spark):
+    rows = [(None, "en", f"the cat sat on the mat {i}") for i in range(900)] + [(None, "fr", f"le chat est sur le tapis {i}") for i in range(900)] + [(i, "de", f"die katze sitzt auf der matte {i}") for i in range(50)]
+    rows += [(7, "fi", "yksi kissa istuu matolla")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    model = language.fit(docs, per_language=100)
+    assert model.langs == ["de", "en", "fi", "fr"]
+    asked = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "le chat est sur le tapis"), (3, "yksi kissa istuu matolla")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(asked, model, ["doc_id"]).collect()} == {1: "en", 2: "fr", 3: "fi"}
+
+
+@pytest.mark.parametrize(
+    "line, labels, rate",
+    [
+        ("(SPDX-License-Identifier: MIT)", "mit", 1.0),
+        ("SPDX-License-Identifier: MIT.", "mit", 1.0),
+        ("The SPDX License Identifier list is long", "", 0.0),
+        ("SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Zlib", "gpl-2.0-only,mit,zlib", 1.0),
+        ("SPDX-License-Identifier: MIT. And more", "mit", 1.0),
+        ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 */", "gpl-2.0+", 0.65),
+        ("SPDX-License-Identifier: (MIT", "malformed", 0.0),
+        ("SPDX-License-Identifier:", "malformed", 0.0),
+    ],
+)
+def test_license_expressions(line, labels, rate):
+    import pyarrow as pa
+
+    found = licenses.scan_texts(pa.array([line, None]), licenses.build_automaton())
+    assert ",".join(sorted(found["labels"][0] or [])) == labels and abs((found["rate"][0] or 0.0) - rate) < 1e-9
+    assert found["labels"][1] is None
+
+
+def test_mixing_reruns_agree(spark):
+    rows = [(5 if i < 60 else None if i < 120 else i, "w " * (i % 17), ["a", "b", None][i % 3]) for i in range(300)]
+    want = None
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1 + seed)
+        got = sorted(map(tuple, mixing.mix(df, rows_per_range=20).collect()), key=str)
+        docs = sorted(map(tuple, mixing.mixed_documents(df, rows_per_range=20).collect()), key=str)
+        want = want or (got, docs)
+        assert want == (got, docs)
+
+
+def test_topk_of_one_id_and_of_large_components(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), *((i, [float(i), float(-i)]) for i in range(1, 9))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df.where("vec_id = 50"), df, k=2).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, -65536), (1, 8, 524288), (2, 2, -131072), (2, 7, 458752)]
+    large = spark.createDataFrame([(50, [1e6 + 1, 3.0]), (1, [1e6 + 3, 1.0]), (2, [1e6 - 1, 7.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(large.where("vec_id = 50"), large).orderBy("rank").collect()] == [(1, 65536 * ((10**6 + 1) * (10**6 + 3) + 3)), (2, 65536 * ((10**6 + 1) * (10**6 - 1) + 21))]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.search_block(np.array([1]), np.array([[2.0**40]]), np.array([50]), np.array([[2.0**40]]), 1)
+
+
+def test_chat_windows_keep_the_budget():
+    rng = random.Random(2)
+    rows = [(1, "system", "a b c")] + [(1, rng.choice(["user", "assistant"]), "w " * rng.choice([0, 3, 9, 80])) for _ in range(400)]
+    size = lambda text: len(text.split()) + 1
+    for budget, history, room in ((50, 4, 20), (50, 0, 0), (20, 3, 100), (1, 2, 5)):
+        said = []
+        for _, _, text, loss, repeated in chat.windows_of(rows, budget, history, room):
+            turns = chat.read_turns(text)
+            own = turns[repeated:]
+            said += [(r, t) for r, t, *_ in own]
+            total = sum(size(t) for _, t, *_ in turns)
+            assert total <= budget or len(own) == 1 and repeated <= 1
+            assert turns[0][:2] == ("system", "a b c") and repeated <= history + 1
+            assert len(loss) == sum(r == "assistant" for r, *_ in own)
+        assert said == [(r, t) for _, r, t in rows]

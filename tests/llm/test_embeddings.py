@@ -74,3 +74,10 @@ def test_low_rank_vectors_lose_no_links(spark, d):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, cell_rows=300, block_rows=256).collect()}
     assert got == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e-200, 1e-201]), (3, [1e300, 1e299]), (4, [0.0, 1e300]), (5, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}

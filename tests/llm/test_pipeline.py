@@ -74,3 +74,17 @@ def test_stages(spark, tmp_path):
         docs = out
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_pass_extra_columns_of_any_name(spark):
+    names = ["lang_pred", "score", "_text", "_copies", "_epoch", "key", "_key", "row", "kept", "class", "size"]
+    rows = [(1, "a b c d e f", "en", "s", 11, *range(11)), (2, "a b c d e f", "en", "s", 11, *range(11)), (3, "g h i j", None, "t", 7, *range(11)), (None, "k l m n o p", "en", None, 11, *range(11))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert {r[5:] for r in got} == {tuple(range(11))}
+        if k < 3:
+            assert sorted(r[0] or 0 for r in got) == ([0, 1, 2, 3] if k == 0 else [0, 1, 3] if k == 1 else [0, 1, 2, 3])
+    assert corpus_pipeline.encode(spark, docs, "").count() == 4
