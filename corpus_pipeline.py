@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
 of documents. Defined results follow from the operators' own; rows that are equal in all columns count once in stage 2.
+Rows travel packed as one column, so extra columns pass whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from strandwise.llm._common import Folder, checkpoint
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text or no letter) go."""
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"), 3, 1)))
-    return language.predict(docs, model, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return language.predict(packed, model, ["row"]).where("lang_pred <> 'und'").select("row.*")
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +29,10 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 20-word windows that start earlier elsewhere go; a text that loses words is its other words joined by blanks."""
-    columns = docs.columns
-    others = tuple(c for c in columns if c not in ("text", "n_chars"))
-    kept = substring.deduplicate(docs, 20, others)
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType)).select(*columns)
+    packed = docs.select(F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("row"), "doc_id", "text")
+    kept = substring.deduplicate(packed, 20, ("row",))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return kept.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +60,11 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     folder = Folder.new(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder.uri}/{k}")
-        docs = spark.read.parquet(f"{folder.uri}/{k}")
-    out = checkpoint(STAGES[-1][1](spark, docs, sf_dir))
-    folder.drop()
-    return out
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder.uri}/{k}")
+            docs = spark.read.parquet(f"{folder.uri}/{k}")
+        return checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        folder.drop()
