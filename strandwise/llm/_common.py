@@ -7,16 +7,14 @@ maximal run of bytes other than 0x20 and 0x09-0x0D, never crossing a document.
 from __future__ import annotations
 
 import ctypes
-import gc
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Folder, checkpoint, release, shared_dir  # noqa: F401
+
 U64 = np.uint64
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -148,67 +146,6 @@ def pieces(batches, text: str = "text", most: int = 6 << 20):
     trim()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = "file://" + os.path.join(tempfile.gettempdir(), "strandwise-shared")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared folder; the files go when nothing refers to the result any more."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-class Folder:
-    """A folder of files in the shared folder, for tasks that write blocks. Writes replace whole files."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-
-    @classmethod
-    def new(cls, spark: SparkSession, kind: str) -> Folder:
-        return cls(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
-
-    def _fs(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.uri if "://" in self.uri else "file://" + self.uri)
-
-    def write(self, name: str, data: bytes) -> None:
-        system, root = self._fs()
-        system.create_dir(root, recursive=True)
-        own = f"{root}/.{name}-{uuid.uuid4().hex}"
-        with system.open_output_stream(own, compression=None) as out:
-            out.write(data)
-        system.move(own, f"{root}/{name}")
-
-    def read(self, name: str) -> bytes:
-        system, root = self._fs()
-        with system.open_input_stream(f"{root}/{name}", compression=None) as src:
-            return src.read()
-
-    def drop(self) -> None:
-        from pyarrow import fs
-
-        system, root = self._fs()
-        if system.get_file_info(root).type != fs.FileType.NotFound:
-            system.delete_dir(root)
-
-
 def row_key(columns: list[str]) -> Column:
     """128 hash bits of a row; which columns are null counts."""
     both = lambda: [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
