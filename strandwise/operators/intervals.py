@@ -1,8 +1,10 @@
 """Interval algebra over DataFrames with chr, start and end (1-based, closed).
 
-Overlaps are found by an equi-join on bins of fixed width: each side lists the bins it touches, and a pair is kept only
-in the later of the two bins in which the sides begin, so no pair comes twice and nothing needs a distinct. Merging is
-by running maxima and islands. AQE splits skewed (chr, bin) keys.
+Overlaps are found by an equi-join on bins. Bins come in levels of width, and an interval belongs to the least level that
+is as wide as it is long, so it touches two bins at most; a pair meets in the coarser level of its two. Each side lists
+its bins in its own level and in those coarser levels that the other side has, and a pair is kept only in the later of
+the two bins in which the sides begin, so no pair comes twice and nothing needs a distinct. Merging is by running maxima
+and islands. AQE splits skewed (chr, level, bin) keys.
 """
 
 from __future__ import annotations
@@ -10,26 +12,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 14
+#: binary logarithms of the widths of bins
+LEVELS = (6, 8, 10, 12, 14, 17, 20, 24, 30, 40)
 
 
-def _bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+def _level(start: str, end: str) -> Column:
+    """The least level that is as wide as the interval is long."""
+    length, out = F.col(end) - F.col(start) + 1, F.lit(LEVELS[-1])
+    for bits in LEVELS[-2::-1]:
+        out = F.when(length <= 1 << bits, F.lit(bits)).otherwise(out)
+    return out
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = WIDTH, how: str = "inner", suffix: str = "_2") -> DataFrame:
+def levels_of(df: DataFrame) -> list[int]:
+    """The levels of a table's intervals: one pass over its starts and ends."""
+    return sorted(r[0] for r in df.where("start <= end").select(_level("start", "end").alias("l")).distinct().collect())
+
+
+def _bins(df: DataFrame, start: str, end: str, others: list[int], names: tuple[str, str]) -> DataFrame:
+    own = _level(start, end)
+    levels = F.array_distinct(F.transform(F.array(*[F.lit(x) for x in others]), lambda x: F.greatest(x, own)))
+    d = df.withColumn(names[0], F.explode(levels))
+    shift = lambda x: F.expr(f"shiftright(CAST({x} AS BIGINT), {names[0]})")
+    first, last = shift(f"`{start}`"), shift(f"`{end}`")
+    return d.withColumn(names[1], F.explode(F.when(first == last, F.array(first)).otherwise(F.sequence(first, last))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", suffix: str = "_2", levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Pairs of overlapping intervals; columns of the right side get a suffix. how: inner, left_semi or left_anti.
 
-    Semi and anti joins key the left side by an id of its rows.
+    levels: those of the left and right side, where they are known (default: looked up). Semi and anti joins key the left
+    side by its place.
     """
-    right = right.select(*[F.col(c).alias(c + suffix) for c in right.columns])
-    b = _bins(right, "start" + suffix, "end" + suffix, width).withColumnRenamed("_bin", "_bin_2")
     if how == "inner":
-        a = _bins(left, "start", "end", width)
-        own = F.floor(F.greatest(F.col("start"), F.col("start" + suffix)) / width)
-        on = (F.col("chr") == F.col("chr" + suffix)) & (F.col("_bin") == F.col("_bin_2")) & (F.col("start") <= F.col("end" + suffix)) & (F.col("start" + suffix) <= F.col("end")) & (F.col("_bin") == own)
-        return a.join(b, on).drop("_bin", "_bin_2")
-    hits = overlap_join(left.withColumn("_hit", F.lit(1)), right.select(*[F.col(c + suffix).alias(c) for c in ("chr", "start", "end")]), width).select("chr", "start", "end").distinct()
+        mine, others = levels or (levels_of(left), levels_of(right))
+        right = right.select(*[F.col(c).alias(c + suffix) for c in right.columns])
+        if not mine or not others:
+            return left.join(right.limit(0), F.lit(False))
+        a = _bins(left.where("start <= end"), "start", "end", others, ("_lev", "_bin"))
+        b = _bins(right.where(f"start{suffix} <= end{suffix}"), "start" + suffix, "end" + suffix, mine, ("_lev_2", "_bin_2"))
+        own = F.expr(f"shiftright(CAST(greatest(start, start{suffix}) AS BIGINT), _lev)")
+        # a pair meets in the coarser level of its two
+        level = F.greatest(_level("start", "end"), _level("start" + suffix, "end" + suffix))
+        on = (F.col("chr") == F.col("chr" + suffix)) & (F.col("_lev") == F.col("_lev_2")) & (F.col("_bin") == F.col("_bin_2")) & (F.col("start") <= F.col("end" + suffix)) & (F.col("start" + suffix) <= F.col("end")) & (F.col("_bin") == own) & (F.col("_lev") == level)
+        return a.join(b, on).drop("_lev", "_bin", "_lev_2", "_bin_2")
+    hits = overlap_join(left.select("chr", "start", "end").distinct(), right.select("chr", "start", "end"), levels=levels).select("chr", "start", "end").distinct()
     keys = hits.withColumnsRenamed({"chr": "_c", "start": "_s", "end": "_e"})
     return left.join(keys, (F.col("chr") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), how)
 
@@ -65,27 +92,26 @@ def merge_named(df: DataFrame, gap: int = 0) -> DataFrame:
     return merge(named, gap, F.array_join(F.transform(F.array_sort(F.collect_list("_row")), lambda r: r["name"]), "+").alias("name"))
 
 
-def intersect(left: DataFrame, right: DataFrame, width: int = WIDTH) -> DataFrame:
+def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
     """The left intervals cut to each part that the merged right side covers; left columns stay."""
-    j = overlap_join(left, merge(right), width)
+    j = overlap_join(left, merge(right))
     return j.withColumn("_s", F.greatest("start", "start_2")).withColumn("end", F.least("end", "end_2")).withColumn("start", F.col("_s")).select(*left.columns)
 
 
-def subtract(left: DataFrame, right: DataFrame, width: int = WIDTH) -> DataFrame:
+def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """The parts of the left intervals that the right side leaves; left columns stay.
 
     Hits of a left row are gathered from merged intervals, so at most one for each gap between them and one more.
     """
-    keyed = left.withColumn("_row", F.xxhash64(*left.columns))
-    keyed = keyed.groupBy(*keyed.columns).agg(F.count("*").cast("int").alias("_times"))
-    hits = overlap_join(keyed.select("_row", "chr", "start", "end"), merge(right), width)
-    cuts = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("start_2").alias("s"), F.col("end_2").alias("e")))).alias("_cuts"))
+    place = ["chr", "start", "end"]
+    hits = overlap_join(left.select(*place).distinct(), merge(right))
+    cuts = hits.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(F.col("start_2").alias("s"), F.col("end_2").alias("e")))).alias("_cuts"))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    c = keyed.join(cuts, "_row", "left").withColumn("_cuts", F.coalesce(F.transform("_cuts", lambda x: F.struct(x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e"))), none))
+    c = left.join(cuts, place, "left").withColumn("_cuts", F.coalesce(F.transform("_cuts", lambda x: F.struct(x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e"))), none))
     heads = F.concat(F.array(F.col("start").cast("long")), F.transform("_cuts", lambda x: x["e"] + 1))
     tails = F.concat(F.transform("_cuts", lambda x: x["s"] - 1), F.array(F.col("end").cast("long")))
     pieces = F.filter(F.arrays_zip(heads.alias("s"), tails.alias("e")), lambda p: p["s"] <= p["e"])
-    return c.withColumn("_p", F.explode(pieces)).withColumn("_t", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col("_p.s").alias(k) if k == "start" else F.col("_p.e").alias(k) if k == "end" else F.col(k) for k in left.columns])
+    return c.withColumn("_p", F.explode(pieces)).select(*[F.col("_p.s").alias(k) if k == "start" else F.col("_p.e").alias(k) if k == "end" else F.col(k) for k in left.columns])
 
 
 def complement(df: DataFrame, refs: DataFrame, one_base_tail: bool = True) -> DataFrame:

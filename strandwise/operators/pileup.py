@@ -1,71 +1,227 @@
-"""Pileups: reads spread over the reference positions that they cover."""
+"""Pileups: reads spread over the reference positions that they cover.
+
+Reads are spread, and the qualities of overlapping mates corrected, by Arrow passes: a read's bases are slices of its
+columns, so all reads of a batch are spread at once. Reads meet by (rname, qname) for the correction, as reads, before
+they are spread; the bases move once, to their positions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import cigar as C
 from ..functions import flags
 
 CHARACTERS_LAST = 93
+#: reference bases spread at once
+SPREAD = 1 << 20
+_OPERATION = re.compile(r"(\d+)([MIDNSHP=X])")
+FIELDS = {
+    "rname": "string", "pos": "int", "qname": "string", "flag": "int", "mapq": "int", "rnext": "string", "read_pos": "int", "pnext": "int", "read_end": "int", "base": "string",
+    "qual": "int", "indel": "string", "inserted": "string", "indel_len": "int", "starts": "boolean", "ends": "boolean", "ordinal": "long",
+}
+_M, _D, _N, _INS, _DEL = range(5)
+
+
+def layout(cigar: str) -> np.ndarray:
+    """Rows (reference offset, query offset, kind, indel, its start in the query, its length), one a reference base.
+
+    An insertion or deletion hangs on the base before it, if that is a plain or a skipped one without another.
+    """
+    ops: list[list] = []
+    for n, op in _OPERATION.findall(re.sub(r"\d+[PH]", "", cigar)):
+        if ops and ops[-1][1] == op:
+            ops[-1][0] += int(n)
+        else:
+            ops.append([int(n), op])
+    parts, ref, query = [], 0, 0
+
+    def hang(kind: int, n: int) -> None:
+        if parts and parts[-1][-1, 2] != _D and parts[-1][-1, 3] < 0:
+            parts[-1][-1, 3:] = kind, query, n
+
+    for n, op in ops:
+        if not n:
+            continue
+        if op in "MDN=X":
+            if op == "D":
+                hang(_DEL, n)
+            run = np.full((n, 6), -1, np.int64)
+            run[:, 0] = np.arange(ref, ref + n)
+            run[:, 1] = np.arange(query, query + n) if op in "M=X" else -1
+            run[:, 2] = _D if op == "D" else _N if op == "N" else _M
+            parts.append(run)
+            ref, query = ref + n, query + (n if op in "M=X" else 0)
+        elif op == "I":
+            hang(_INS, n)
+            query += n
+        elif op == "S":
+            query += n
+    return np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
+
+
+def _text(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a text column without nulls."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
+_LETTERS = pa.array([chr(i) for i in range(128)])
+
+
+def _spread(reads: pa.Table, group: np.ndarray | None, fields: tuple[str, ...], templates: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Pile rows of the reads; reads of one group are mates whose overlaps are corrected."""
+    shapes = [templates.setdefault(c, layout(c)) if c not in templates else templates[c] for c in reads.column("cigar").to_pylist()]
+    sizes = np.array([len(s) for s in shapes], np.int64)
+    row = np.repeat(np.arange(len(shapes)), sizes)
+    at = np.concatenate([np.zeros((0, 6), np.int64), *shapes])
+    ref, query, kind, indel, indel_start, indel_len = at.T
+    number = lambda c: reads.column(c).to_numpy()
+    pos = number("pos")[row] + ref
+    plain = kind == _M
+
+    def letters(column: str, first: np.ndarray, where: np.ndarray, none: int):
+        data, offsets = _text(reads.column(column))
+        index = offsets[row] + first
+        ok = where & (index < offsets[row + 1])
+        out = np.full(len(row), none, np.int64)
+        out[ok] = data[index[ok]]
+        return out, np.diff(offsets)[row], data, offsets
+
+    base, _, seq_data, seq_offsets = letters("seq", query, plain, -1)
+    base = np.where(kind == _D, 42, np.where(kind == _N, 62, base))
+    code, length, data, offsets = letters("qual", query, plain, -1)
+    unknown = (length == 1) & (data[np.minimum(offsets[row], max(len(data) - 1, 0))] == 42) if len(data) else np.ones(len(row), bool)
+    # a base beyond the qualities has none: -33 + 0
+    qual = np.where(unknown | ~plain, CHARACTERS_LAST, np.maximum(code, 0) - 33)
+    if group is not None:
+        qual = _corrected(group[row], pos, qual, base, number("ordinal")[row], np.array([x == "=" for x in reads.column("rnext").to_pylist()])[row], number("pnext")[row])
+    last = np.zeros(len(shapes), np.int64)
+    last[sizes > 0] = number("pos")[sizes > 0] + sizes[sizes > 0] - 1
+    take = lambda c: reads.column(c).take(pa.array(row)).combine_chunks()
+    hung = indel >= 0
 
+    def inserted():
+        out = np.full(len(row), None, dtype=object)
+        for i in np.flatnonzero(indel == _INS):
+            a = seq_offsets[row[i]] + indel_start[i]
+            out[i] = seq_data[a : min(a + indel_len[i], seq_offsets[row[i] + 1])].tobytes().decode()
+        return pa.array(out, pa.string())
 
-def pile_rows(alignments: DataFrame, min_mapq: int = 0) -> DataFrame:
-    """One row a read and covered position: rname, pos, qname, flag, mapq, base, qual, indel, indel_start, indel_len, starts, ends, ordinal.
+    make = {
+        "pos": lambda: pa.array(pos, pa.int32()), "read_pos": lambda: pa.array(number("pos")[row], pa.int32()), "read_end": lambda: pa.array(last[row], pa.int32()),
+        "base": lambda: _LETTERS.take(pa.array(base, mask=base < 0)), "qual": lambda: pa.array(qual, pa.int32()), "inserted": inserted,
+        "indel": lambda: pa.array(["i", "d"]).take(pa.array(indel - _INS, mask=~hung)), "indel_len": lambda: pa.array(indel_len, pa.int32(), mask=~hung),
+        "starts": lambda: pa.array(ref == 0), "ends": lambda: pa.array(pos == last[row]),
+    }
+    return pa.RecordBatch.from_arrays([make[f]() if f in make else take(f) for f in fields], names=list(fields))
+
+
+def _corrected(group, pos, qual, base, ordinal, same, pnext) -> np.ndarray:
+    """Qualities after the correction of overlaps: see `pile_rows`."""
+    order = np.lexsort((ordinal, pos, group))
+    g, p = group[order], pos[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(order)))
+    first, other = order[head[size == 2]], order[head[size == 2] + 1]
+    mated = pnext[first] > 0
+    first, other = first[mated], other[mated]
+    a, b = qual[first], qual[other]
+    like = base[first] == base[other]
+    out = qual.copy()
+    kept = same[first]
+    out[first[kept]] = np.where(like, np.minimum(200, a + b), np.where(a >= b, np.floor(a * 0.8).astype(np.int64), 0))[kept]
+    kept = same[other]
+    out[other[kept]] = np.where(like, 0, np.where(b > a, np.floor(b * 0.8).astype(np.int64), 0))[kept]
+    return out
+
+
+def pile_rows(alignments: DataFrame, min_mapq: int = 0, correct_overlaps: bool = False, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """One row a read and covered position: FIELDS, or those asked for.
 
     base is "*" where deleted and ">" where skipped. Row order in a pile is that of `ordinal`, the order in the file.
+
+    With correct_overlaps, the qualities of a position that both mates cover count once. Like bases: the first read gets
+    the sum (200 at most), the other 0. Unlike: the better one keeps 80 %, the other gets 0. First is by file order; it
+    applies to two reads of one name on one reference, to one whose mate is said to be there, if the first has a mate
+    position.
     """
     kept = alignments.where(flags.pile_filter(F.col("flag"), F.col("cigar"), F.col("mapq"), min_mapq) & (F.col("cigar") != "*"))
-    r = kept.withColumn("_last", C.end(F.col("pos"), F.col("cigar"))).withColumn("_a", F.explode(C.aligned(F.col("cigar"))))
-    a = lambda k: F.col(f"_a.{k}")
-    base = F.when(a("kind") == "m", F.substr("seq", a("query") + 1, F.lit(1))).when(a("kind") == "d", "*").otherwise(">")
-    qual = F.when((F.col("qual") == "*") | (a("kind") != "m"), CHARACTERS_LAST).otherwise(F.ascii(F.substr("qual", a("query") + 1, F.lit(1))) - 33)
-    at = F.col("pos") + a("ref")
-    return r.select(
-        "rname", at.alias("pos"), "qname", "flag", "mapq", "rnext", F.col("pos").alias("read_pos"), "pnext", F.col("_last").alias("read_end"), base.alias("base"), qual.cast("int").alias("qual"),
-        a("indel").alias("indel"), F.when(a("indel") == "i", F.substr("seq", a("indel_start") + 1, a("indel_len"))).alias("inserted"), a("indel_len").alias("indel_len"),
-        (a("ref") == 0).alias("starts"), (at == F.col("_last")).alias("ends"), "ordinal",
-    )
-
-
-def correct_overlaps(rows: DataFrame) -> DataFrame:
-    """Qualities of a position that both mates cover count once.
-
-    Like bases: the first read gets the sum (200 at most), the other 0. Unlike: the better one keeps 80 %, the other
-    gets 0. First is by file order; it applies to mates on one reference, if the first has a mate position.
-    """
-    w = Window.partitionBy("rname", "qname", "pos").orderBy("ordinal")
-    n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    k = F.row_number().over(w)
-    pair = (n == 2) & (F.col("rnext") == "=")
-    other_base, other_qual = (F.coalesce(F.lag(c).over(w), F.lead(c).over(w)) for c in ("base", "qual"))
-    own, other = F.col("qual"), other_qual
-    first = k == 1
-    mated = F.when(first, F.col("pnext") > 0).otherwise(F.lag("pnext").over(w) > 0)
-    like = F.when(first, F.least(F.lit(200), own + other)).otherwise(0)
-    better = F.when(first, own >= other).otherwise(own > other)
-    unlike = F.when(better, F.floor(own * 0.8)).otherwise(0)
-    fixed = F.when(pair & mated, F.when(F.col("base") == other_base, like).otherwise(unlike)).otherwise(own)
-    return rows.withColumn("_q", fixed.cast("int")).withColumn("qual", F.col("_q")).drop("_q")
-
-
-def pileup(alignments: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, ignore_overlaps: bool = False, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    as_int = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    reads = kept.select(text("rname"), text("qname"), as_int("flag"), as_int("pos"), as_int("mapq"), "cigar", text("rnext"), as_int("pnext"), text("seq"), text("qual"), F.col("ordinal").cast("long").alias("ordinal"))
+    if correct_overlaps:
+        reads = reads.repartition("rname", "qname").sortWithinPartitions("rname", "qname", "ordinal")
+
+    def groups(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        for c in ("rname", "qname"):
+            x = t.column(c).combine_chunks()
+            differs = pa.compute.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] = differs if c == "rname" else new[1:] | differs
+        return np.cumsum(new) - 1
+
+    def run(batches):
+        templates: dict[str, np.ndarray] = {}
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if held is not None:
+                t = pa.concat_tables([held, t]).combine_chunks()
+            held = None
+            if not t.num_rows:
+                continue
+            group = groups(t) if correct_overlaps else None
+            whole = t.num_rows
+            if correct_overlaps:  # the last name may go on in the next batch
+                whole = int(np.searchsorted(group, group[-1]))
+                held = t.slice(whole)
+            yield from pieces(t.slice(0, whole), group, templates)
+        if held is not None:
+            yield from pieces(held, groups(held), templates)
+
+    def pieces(t: pa.Table, group, templates):
+        """Slices of about SPREAD bases that don't cut a group."""
+        if not t.num_rows:
+            return
+        reach = pa.compute.utf8_length(t.column("seq")).to_numpy() + 64
+        part = np.cumsum(reach) // SPREAD
+        if group is not None:
+            group = group[: t.num_rows]
+            part = part[np.searchsorted(group, group)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [t.num_rows]])
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield _spread(t.slice(a, b - a).combine_chunks(), None if group is None else group[a:b], fields, templates)
+
+    return reads.mapInArrow(run, StructType.fromDDL(", ".join(f"{f} {FIELDS[f]}" for f in fields)))
+
+
+def pileup(alignments: DataFrame, min_base_quality: int = 13, min_mapq: int = 0, ignore_overlaps: bool = False, chrom: str | None = None, start: int | None = None, end: int | None = None, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """Pile rows (see pile_rows) of a region, after the correction of overlaps and the filter by base quality."""
     a = alignments
     if chrom is not None:
         a = a.where(F.col("rname") == chrom)
-    if start is not None or end is not None:
-        last = C.end(F.col("pos"), F.col("cigar"))
-        a = a.where((last >= (start or 1)) & (F.col("pos") <= (end or (1 << 31) - 1)))
-    rows = pile_rows(a, min_mapq)
-    if not ignore_overlaps:
-        rows = correct_overlaps(rows)
+    if end is not None:
+        a = a.where(F.col("pos") <= end)
+    if start is not None:
+        a = a.where(C.end(F.col("pos"), F.col("cigar")) >= start)
+    rows = pile_rows(a, min_mapq, not ignore_overlaps, tuple(dict.fromkeys([*fields, "pos", "qual"])))
     if min_base_quality > 0:
         rows = rows.where(F.col("qual") >= min_base_quality)
     if start is not None:
         rows = rows.where(F.col("pos") >= start)
-    return rows if end is None else rows.where(F.col("pos") <= end)
+    rows = rows if end is None else rows.where(F.col("pos") <= end)
+    return rows.select(*fields)
 
 
 def base_text(ref: Column | None = None) -> Column:
@@ -82,6 +238,10 @@ def base_text(ref: Column | None = None) -> Column:
     return F.concat(head, base, tail, F.when(F.col("ends"), "$").otherwise(""))
 
 
+#: what a pile's text is made of
+TEXT = ("rname", "pos", "flag", "mapq", "base", "qual", "indel", "inserted", "indel_len", "starts", "ends", "ordinal")
+
+
 def pileup_text(rows: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """rname, pos, ref, count, bases, quals of each covered position; reference is (rname, pos, ref)."""
     ref = None

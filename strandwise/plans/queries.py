@@ -228,27 +228,32 @@ def _piles(spark, d, **options):
 
 
 query("cigar_expand", f"SELECT rname, p::BIGINT AS pos, kind, count(*) AS n FROM {PILES} GROUP BY ALL")(lambda s, d: pileup.pile_rows(derive.alignments(s, d)).groupBy("rname", c("pos").cast("long").alias("pos"), F.when(c("base") == "*", "d").when(c("base") == ">", "n").otherwise("m").alias("kind")).agg(F.count("*").alias("n")))
-query("pileup_counts", f"SELECT rname, p::BIGINT AS pos, count(*) AS n FROM {CORRECTED} WHERE fq >= 13 GROUP BY ALL")(lambda s, d: _piles(s, d).groupBy("rname", c("pos").cast("long").alias("pos")).agg(F.count("*").alias("n")))
+query("pileup_counts", f"SELECT rname, p::BIGINT AS pos, count(*) AS n FROM {CORRECTED} WHERE fq >= 13 GROUP BY ALL")(lambda s, d: _piles(s, d, fields=("rname", "pos")).groupBy("rname", c("pos").cast("long").alias("pos")).agg(F.count("*").alias("n")))
 query("pileup_overlap_qual", f"SELECT ordinal, p::BIGINT AS pos, fq AS qual FROM {CORRECTED} WHERE n = 2")(
-    lambda s, d: pileup.correct_overlaps(pileup.pile_rows(derive.alignments(s, d))).join(pileup.pile_rows(derive.alignments(s, d)).groupBy("rname", "qname", "pos").agg(F.count("*").alias("m")).where("m = 2"), ["rname", "qname", "pos"]).select("ordinal", c("pos").cast("long").alias("pos"), "qual")
+    lambda s, d: pileup.pile_rows(derive.alignments(s, d), correct_overlaps=True).join(pileup.pile_rows(derive.alignments(s, d)).groupBy("rname", "qname", "pos").agg(F.count("*").alias("m")).where("m = 2"), ["rname", "qname", "pos"]).select("ordinal", c("pos").cast("long").alias("pos"), "qual")
 )
-query("pileup_ignore_overlaps", f"SELECT rname, p::BIGINT AS pos, sum(bq)::BIGINT AS q FROM {PILES} WHERE bq >= 13 GROUP BY ALL")(lambda s, d: _piles(s, d, ignore_overlaps=True).groupBy("rname", c("pos").cast("long").alias("pos")).agg(F.sum("qual").alias("q")))
-query("pileup_base_freq", f"SELECT base, count(*) AS n, sum(fq)::BIGINT AS q FROM {CORRECTED} WHERE fq >= 20 AND mapq >= 10 GROUP BY base")(lambda s, d: pileup.correct_overlaps(pileup.pile_rows(derive.alignments(s, d))).where("qual >= 20 AND mapq >= 10").groupBy("base").agg(F.count("*").alias("n"), F.sum("qual").alias("q")))
+query("pileup_ignore_overlaps", f"SELECT rname, p::BIGINT AS pos, sum(bq)::BIGINT AS q FROM {PILES} WHERE bq >= 13 GROUP BY ALL")(lambda s, d: _piles(s, d, ignore_overlaps=True, fields=("rname", "pos", "qual")).groupBy("rname", c("pos").cast("long").alias("pos")).agg(F.sum("qual").alias("q")))
+query("pileup_base_freq", f"SELECT base, count(*) AS n, sum(fq)::BIGINT AS q FROM {CORRECTED} WHERE fq >= 20 AND mapq >= 10 GROUP BY base")(lambda s, d: pileup.pile_rows(derive.alignments(s, d), correct_overlaps=True, fields=("base", "qual", "mapq")).where("qual >= 20 AND mapq >= 10").groupBy("base").agg(F.count("*").alias("n"), F.sum("qual").alias("q")))
 query(
     "pileup_indels",
     f"SELECT rname, (pos + CASE cigar WHEN '4M2I4M' THEN 3 ELSE 4 END)::BIGINT AS pos, CASE cigar WHEN '4M2I4M' THEN 'i' ELSE 'd' END AS indel, CASE cigar WHEN '4M2I4M' THEN substr(seq, 5, 2) END AS inserted, count(*) AS n FROM {L} WHERE cigar IN ('4M2I4M', '5M3D5M') AND (flag & 3844) = 0 AND ((flag & 1) = 0 OR (flag & 2) <> 0) GROUP BY ALL",
 )(lambda s, d: pileup.pile_rows(derive.alignments(s, d)).where("indel IS NOT NULL").groupBy("rname", c("pos").cast("long").alias("pos"), "indel", "inserted").agg(F.count("*").alias("n")))
 query("pileup_bases", f"SELECT rname, p::BIGINT AS pos, string_agg(base, '' ORDER BY ordinal) AS bases FROM {CORRECTED} WHERE fq >= 13 GROUP BY ALL")(
-    lambda s, d: _piles(s, d).groupBy("rname", c("pos").cast("long").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "base"))), lambda x: x["base"]), "").alias("bases"))
+    lambda s, d: _piles(s, d, fields=("rname", "pos", "ordinal", "base")).groupBy("rname", c("pos").cast("long").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "base"))), lambda x: x["base"]), "").alias("bases"))
 )
-query("pileup_text")(lambda s, d: pileup.pileup_text(_piles(s, d)))
+_CASED = "CASE WHEN flag & 16 <> 0 THEN lower({x}) ELSE upper({x}) END"
+_INDEL = f"CASE WHEN cigar = '4M2I4M' AND p = pos + 3 THEN '+2' || {_CASED.format(x='substr(seq, 5, 2)')} WHEN cigar = '5M3D5M' AND p = pos + 4 THEN '-3' || {_CASED.format(x="'NNN'")} ELSE '' END"
+_LAST = "CASE cigar WHEN '10M' THEN 9 WHEN '3S7M' THEN 6 WHEN '4M2I4M' THEN 7 WHEN '5M3D5M' THEN 12 WHEN '4M20N6M' THEN 29 ELSE 7 END"
+WRITTEN = f"CASE WHEN p = pos THEN '^' || chr((least(mapq, 93) + 33)::INT) ELSE '' END || CASE WHEN base = '>' AND flag & 16 <> 0 THEN '<' WHEN base IN ('>', '*') THEN base ELSE {_CASED.format(x='base')} END || {_INDEL} || CASE WHEN p = pos + {_LAST} THEN '$' ELSE '' END"
+query("pileup_text", f"SELECT rname, p::INT AS pos, 'N' AS ref, count(*)::INT AS count, string_agg({WRITTEN}, '' ORDER BY ordinal) AS bases, string_agg(chr((least(fq, 93) + 33)::INT), '' ORDER BY ordinal) AS quals FROM {CORRECTED} WHERE fq >= 13 GROUP BY rname, p")(lambda s, d: pileup.pileup_text(_piles(s, d, fields=pileup.TEXT)))
+_SAMPLE = "count(*) FILTER (ordinal % 2 = {k}) AS {n}, coalesce(string_agg({w}, '' ORDER BY ordinal) FILTER (ordinal % 2 = {k}), '') AS {n}_bases"
 
 
-@query("mpileup_two_samples", f"SELECT rname, p::BIGINT AS pos, count(*) FILTER (ordinal % 2 = 0) AS a, count(*) FILTER (ordinal % 2 = 1) AS b FROM {PILES} WHERE bq >= 13 GROUP BY ALL")
+@query("mpileup_two_samples", f"SELECT rname, p::BIGINT AS pos, {_SAMPLE.format(k=0, n='a', w=WRITTEN)}, {_SAMPLE.format(k=1, n='b', w=WRITTEN)} FROM {PILES} WHERE bq >= 13 GROUP BY rname, p")
 def _(spark, d):
-    piles = _piles(spark, d, ignore_overlaps=True)
+    piles = _piles(spark, d, ignore_overlaps=True, fields=pileup.TEXT)
     m = pileup.mpileup({"a": piles.where("ordinal % 2 = 0"), "b": piles.where("ordinal % 2 = 1")})
-    return m.select("rname", c("pos").cast("long").alias("pos"), c("a_count").cast("long").alias("a"), c("b_count").cast("long").alias("b"))
+    return m.select("rname", c("pos").cast("long").alias("pos"), c("a_count").cast("long").alias("a"), c("b_count").cast("long").alias("b"), "a_bases", "b_bases")
 
 
 # --- alignments
@@ -302,29 +307,60 @@ query("split_multiallelic", f"SELECT id, i::INT AS alt_index, a AS alt, replace(
 )
 query("variant_region", f"SELECT id FROM {VR} WHERE chr = 'chr5' AND pos <= 90000 AND pos + len(ref) - 1 >= 20000")(lambda s, d: V.in_region(derive.variants(s, d), "chr5", 20000, 90000).select("id"))
 query("variant_within", f"SELECT id FROM {VR} WHERE chr = 'chr5' AND pos >= 20000 AND pos + len(ref) <= 90000")(lambda s, d: V.in_region(derive.variants(s, d), "chr5", 20000, 90000, within=True).select("id"))
-query("validate_variants", f"SELECT id, CASE WHEN pos < 100000 THEN 'pos,' ELSE '' END || CASE WHEN len(alt) > 0 AND alt LIKE '%C,%' THEN '' ELSE '' END AS paths FROM {VR}")(lambda s, d: V.validate(derive.variants(s, d).withColumn("alt", F.when(c("alt") != ".", F.split("alt", ","))).withColumn("pos", F.when(c("pos") < 100000, -1).otherwise(c("pos")))).select("id", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit(","))), "").alias("paths")))
-query("realign_variants")(lambda s, d: V.realign(*_reference_and_variants(s, d)).select("id", "pos", "ref", "alt"))
-query("normalize_variants")(lambda s, d: V.normalize(*_reference_and_variants(s, d)).select("id", "alt_index", "pos", "ref", "alt"))
-
-REFERENCE = "SELECT concat('chr', CAST(s_suppkey % 22 + 1 AS STRING)) AS name, repeat(concat('ACGTTTTACGGATATATC', CASE WHEN s_suppkey % 2 = 0 THEN 'GG' ELSE 'CACACACA' END), 60) AS sequence, s_suppkey FROM supplier WHERE s_suppkey < 22"
+query("validate_variants", f"SELECT id, CASE WHEN id % 17 = 0 THEN 'chr,' ELSE '' END || CASE WHEN pos < 100000 THEN 'pos,' ELSE '' END || CASE WHEN id % 11 = 0 OR id % 11 = 1 THEN 'ref,' ELSE '' END || CASE WHEN id % 13 IN (0, 5, 7) THEN 'alt,' ELSE '' END AS paths FROM {VR}")(
+    lambda s, d: V.validate(
+        derive.variants(s, d).select(
+            "id", F.when(c("id") % 17 == 0, F.lit("*chr 1")).otherwise(c("chr")).alias("chr"), F.when(c("pos") < 100000, -1).otherwise(c("pos")).alias("pos"), F.when(c("id") % 11 == 0, "").when(c("id") % 11 == 1, "AXG").otherwise(c("ref")).alias("ref"),
+            F.when(c("id") % 13 == 0, F.array(F.lit("Q"))).when(c("id") % 13 == 5, F.array(F.lit("A"), F.lit("<DEL"))).when(c("id") % 13 == 7, F.array(F.lit("C[chr2:x["))).when(c("id") % 13 == 6, F.array(F.lit(".AC"), F.lit("]chr3:7]T"))).when(c("alt") != ".", F.split("alt", ",")).alias("alt"),
+        )
+    ).select("id", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit(","))), "").alias("paths"))
+)
+
+def _realigned(rows: str) -> str:
+    """Left alignment of (id, alt_index, chr, pos, a: the reference allele and the others), base by base."""
+    return f"""WITH RECURSIVE v AS ({rows}),
+r AS (SELECT id, alt_index, chr, pos, a, 0 AS n FROM v UNION ALL
+  SELECT id, alt_index, chr, pos - (m = 1)::INT, list_transform(a, lambda x: CASE WHEN m = 1 THEN substr(sequence, pos - 1, 1) ELSE '' END || left(x, len(x) - 1)), n + 1
+  FROM (SELECT *, list_min(list_transform(a, lambda x: len(x))) AS m FROM r) JOIN {derive.duck(REFERENCE)} ON name = chr
+  WHERE len(list_distinct(list_transform(a, lambda x: right(x, 1)))) = 1 AND NOT (m = 1 AND pos = 1)),
+e AS (SELECT id, alt_index, arg_max(pos, n) AS pos, arg_max(a, n) AS a FROM r GROUP BY ALL),
+t AS (SELECT id, alt_index, pos, a, 0 AS n FROM e UNION ALL
+  SELECT id, alt_index, pos + 1, list_transform(a, lambda x: x[2:]), n + 1 FROM t WHERE list_min(list_transform(a, lambda x: len(x))) > 1 AND len(list_distinct(list_transform(a, lambda x: left(x, 1)))) = 1)
+SELECT id, alt_index, arg_max(pos, n)::INT AS pos, arg_max(a, n)[1] AS ref, array_to_string(arg_max(a, n)[2:], ',') AS alt FROM t GROUP BY id, alt_index"""
+
+
+def _variant_rows() -> str:
+    return f"""SELECT id, 1 AS alt_index, chr, pos, [r] || CASE k WHEN 0 THEN [left(r, 1)] WHEN 1 THEN [r || substr(r, 3, 2), 'G'] ELSE [left(r, 2) || 'A'] END AS a
+FROM (SELECT o_orderkey AS id, concat('chr', (o_custkey % 10 + 1)::VARCHAR) AS chr, (o_orderkey * 7 % 900 + 20)::INT AS pos, o_orderkey % 3 AS k, substr(sequence, (o_orderkey * 7 % 900 + 20)::INT, 4) AS r
+      FROM orders JOIN {derive.duck(REFERENCE)} ON name = concat('chr', (o_custkey % 10 + 1)::VARCHAR)) WHERE len(r) = 4"""
+
+
+REALIGN = lambda: f"SELECT id, pos, ref, alt FROM ({_realigned(_variant_rows())})"
+NORMALIZE = lambda: _realigned(f"SELECT id, i::INT AS alt_index, chr, pos, [a[1], a[i + 1]] AS a FROM (SELECT *, unnest(range(1, len(a))) AS i FROM ({_variant_rows()}))")
+query("realign_variants")(lambda s, d: V.realign(*_reference_and_variants(s, d)).select("id", "pos", "ref", F.array_join("alt", ",").alias("alt")))
+query("normalize_variants")(lambda s, d: V.normalize(*_reference_and_variants(s, d)).select("id", "alt_index", "pos", "ref", F.array_join("alt", ",").alias("alt")))
+
+REFERENCE = "SELECT concat('chr', CAST(s_suppkey + 1 AS STRING)) AS name, repeat(concat('ACGTTTTACGGATATATC', CASE WHEN s_suppkey % 2 = 0 THEN 'GG' ELSE 'CACACACA' END), 60) AS sequence, s_suppkey FROM supplier"
 
 
 def _reference_and_variants(spark, d):
-    ref = derive.relation(spark, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22").select("name", "sequence")
+    ref = derive.relation(spark, d, REFERENCE).select("name", "sequence")
     v = derive.relation(spark, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey * 7 % 900 + 20 AS INT) AS pos, o_orderkey % 3 AS k FROM orders")
     seq = V.with_reference(v.withColumn("_n", F.lit(4)), ref, F.col("_n"))
     alts = F.when(c("k") == 0, F.array(F.substring("_ref", 1, 1))).when(c("k") == 1, F.array(F.concat("_ref", F.substring("_ref", 3, 2)), F.lit("G"))).otherwise(F.array(F.concat(F.substring("_ref", 1, 2), F.lit("A"))))
     return seq.where("length(_ref) = 4").select("id", "chr", "pos", c("_ref").alias("ref"), alts.alias("alt"), F.lit("0/1").alias("gt")), ref
 
 
-query("seq_dict", f"SELECT name, len(sequence)::BIGINT AS len, md5(upper(sequence)) AS md5 FROM {derive.duck(REFERENCE)}")(lambda s, d: V.sequence_dictionary(V.chunk(derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22"), 100)))
+query("seq_dict", f"SELECT name, len(sequence)::BIGINT AS len, md5(upper(sequence)) AS md5 FROM {derive.duck(REFERENCE)}")(lambda s, d: V.sequence_dictionary(V.chunk(derive.relation(s, d, REFERENCE), 100)))
 query("fasta_lookup", f"SELECT o_orderkey AS id, substr(sequence, (o_orderkey % 700 + 1)::INT, 150) AS s FROM orders JOIN {derive.duck(REFERENCE)} ON name = concat('chr', CAST(o_custkey % 10 + 1 AS VARCHAR))")(
-    lambda s, d: V.with_reference(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 150 AS n FROM orders"), derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22").select("name", "sequence"), F.col("n"), 64).select("id", c("_ref").alias("s"))
+    lambda s, d: V.with_reference(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 150 AS n FROM orders"), derive.relation(s, d, REFERENCE).select("name", "sequence"), F.col("n"), 64).select("id", c("_ref").alias("s"))
 )
 query("ref_match", f"SELECT o_orderkey AS id, upper(substr(sequence, (o_orderkey % 700 + 1)::INT, 2)) = 'AC' AS same FROM orders JOIN {derive.duck(REFERENCE)} ON name = concat('chr', CAST(o_custkey % 10 + 1 AS VARCHAR))")(
-    lambda s, d: V.same_ref(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 'ac' AS ref FROM orders"), derive.relation(s, d, REFERENCE.rsplit(" WHERE", 1)[0]).where("s_suppkey < 22").select("name", "sequence")).where("same IS NOT NULL").select("id", "same")
+    lambda s, d: V.same_ref(derive.relation(s, d, "SELECT o_orderkey AS id, concat('chr', CAST(o_custkey % 10 + 1 AS STRING)) AS chr, CAST(o_orderkey % 700 + 1 AS INT) AS pos, 'ac' AS ref FROM orders"), derive.relation(s, d, REFERENCE).select("name", "sequence")).where("same IS NOT NULL").select("id", "same")
 )
 
+ORACLES["realign_variants"], ORACLES["normalize_variants"] = REALIGN(), NORMALIZE()
+
 # --- streams
 
 query("stream_session_merge", "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g")(sessions.batch_sessions)
