@@ -145,17 +145,28 @@ def to_genome(df: DataFrame, refs: DataFrame, chrom: str = "chr", pos: str = "st
 
 
 def from_genome(df: DataFrame, refs: DataFrame, pos: str = "genome_pos") -> DataFrame:
-    """df with chr and start of a position in the whole genome; the list of references is small, so a range join with it is."""
-    o = genome_offsets(refs).withColumnsRenamed({"name": "_name", "len": "_len", "offset": "_offset"})
-    j = df.join(o, (F.col(pos) > F.col("_offset")) & (F.col(pos) <= F.col("_offset") + F.col("_len")), "left")
-    return j.withColumn("chr", F.col("_name")).withColumn("start", F.col(pos) - F.col("_offset")).drop("_name", "_len", "_offset")
+    """df with chr and start of a position in the whole genome; null beyond it. Positions meet references by bins, however many there are."""
+    from .intervals import overlap_join
+
+    at = df.select(F.col(pos).alias("_pos")).where(F.col("_pos").isNotNull()).distinct().select("_pos", F.lit("").alias("chr"), F.col("_pos").alias("start"), F.col("_pos").alias("end"))
+    hits = overlap_join(at, _spans(refs)).select("_pos", F.col("name_2").alias("_name"), (F.col("_pos") - F.col("start_2") + 1).alias("_start"))
+    j = df.join(hits, F.col(pos) == F.col("_pos"), "left")
+    return j.withColumn("chr", F.col("_name")).withColumn("start", F.col("_start")).drop("_name", "_pos", "_start")
+
+
+def _spans(refs: DataFrame) -> DataFrame:
+    """References as intervals of one chromosome, the whole genome."""
+    return genome_offsets(refs).where("len > 0").select(F.lit("").alias("chr"), (F.col("offset") + 1).alias("start"), (F.col("offset") + F.col("len")).alias("end"), "name")
 
 
 def genome_regions(df: DataFrame, refs: DataFrame) -> DataFrame:
     """chr, start, end of the parts of genome intervals (gstart, gend) on each reference."""
-    o = genome_offsets(refs)
-    j = df.join(o, (F.col("gstart") <= F.col("offset") + F.col("len")) & (F.col("gend") > F.col("offset")))
-    return j.select(*df.columns, F.col("name").alias("chr"), (F.greatest("gstart", F.col("offset") + 1) - F.col("offset")).alias("start"), (F.least("gend", F.col("offset") + F.col("len")) - F.col("offset")).alias("end"))
+    from .intervals import overlap_join
+
+    whole = df.select(F.struct(*df.columns).alias("row"), F.lit("").alias("chr"), F.col("gstart").alias("start"), F.col("gend").alias("end"))
+    j = overlap_join(whole, _spans(refs))
+    offset = F.col("start_2") - 1
+    return j.select("row.*", F.col("name_2").alias("chr"), (F.greatest("start", "start_2") - offset).alias("start"), (F.least("end", "end_2") - offset).alias("end"))
 
 
 def _rule(bad: Column, path: str, message: str) -> Column:

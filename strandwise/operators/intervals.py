@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
+
 #: binary logarithms of the widths of bins
-LEVELS = (6, 8, 10, 12, 14, 17, 20, 24, 30, 40)
+LEVELS = (8, 12, 16, 20, 24, 30, 40)
 
 
 def _level(start: str, end: str) -> Column:
@@ -94,7 +96,7 @@ def merge_named(df: DataFrame, gap: int = 0) -> DataFrame:
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
     """The left intervals cut to each part that the merged right side covers; left columns stay."""
-    j = overlap_join(left, merge(right))
+    j = overlap_join(left, checkpoint(merge(right)))
     return j.withColumn("_s", F.greatest("start", "start_2")).withColumn("end", F.least("end", "end_2")).withColumn("start", F.col("_s")).select(*left.columns)
 
 
@@ -104,7 +106,7 @@ def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     Hits of a left row are gathered from merged intervals, so at most one for each gap between them and one more.
     """
     place = ["chr", "start", "end"]
-    hits = overlap_join(left.select(*place).distinct(), merge(right))
+    hits = overlap_join(left.select(*place).distinct(), checkpoint(merge(right)))
     cuts = hits.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(F.col("start_2").alias("s"), F.col("end_2").alias("e")))).alias("_cuts"))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     c = left.join(cuts, place, "left").withColumn("_cuts", F.coalesce(F.transform("_cuts", lambda x: F.struct(x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e"))), none))

@@ -363,7 +363,9 @@ ORACLES["realign_variants"], ORACLES["normalize_variants"] = REALIGN(), NORMALIZ
 
 # --- streams
 
-query("stream_session_merge", "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g")(sessions.batch_sessions)
-query("stream_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")(sessions.batch_windows)
+query("stream_session_merge", "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g")(sessions.stream_sessions)
+query("stream_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")(sessions.stream_windows)
+query("stream_carry", "SELECT event_id, sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS carried FROM events")(lambda s, d: sessions.carry(s.read.parquet(f"{d}/events.parquet").withColumn("v", c("event_id") % 100), "user_id", "ts", "v", 5).select("event_id", "carried"))
+query("limit_first", f"SELECT ordinal FROM {L} ORDER BY ordinal LIMIT 100")(lambda s, d: derive.alignments(s, d).select("ordinal").orderBy("ordinal").limit(100))
 query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")(sessions.stream_distinct)
 ORACLES["info_parse"] = f"SELECT v.id, regexp_extract(v.info, 'DP=(\\d+)', 1)::INT AS dp, v.info LIKE '%DB' AS db, t.text FROM {VR} v JOIN ({ORDERED}) t ON t.id = v.id"
