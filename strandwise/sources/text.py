@@ -182,16 +182,20 @@ def read_vcf_meta(spark: SparkSession, path: str) -> dict:
 
 def read_vcf(spark: SparkSession, path: str, meta: dict | None = None) -> DataFrame:
     """chr, pos, id, ref, alt, qual, filter, info map, format, samples array<struct<name,values>>, info_text, ordinal."""
-    meta = meta or read_vcf_meta(spark, path)
+    return vcf_rows(_lines(spark, path), meta or read_vcf_meta(spark, path))
+
+
+def vcf_rows(lines: DataFrame, meta: dict, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Variants of lines (value, ordinal), with the columns of `keep`."""
     names = meta.get("columns", [])[9:]
     f = F.split("value", "\t")
     at = lambda i: F.get(f, F.lit(i))
-    d = _lines(spark, path).where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    d = lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
     fmt = V.split_field(at(8), ":")
     samples = F.array(*[F.struct(F.lit(n).alias("name"), V.parse_sample(fmt, at(9 + i)).alias("values")) for i, n in enumerate(names)]) if names else F.lit(None)
     return d.select(
         at(0).alias("chr"), at(1).cast("long").alias("pos"), F.nullif(at(2), F.lit(".")).alias("id"), at(3).alias("ref"), V.split_field(at(4), ",").alias("alt"),
-        F.when(~V.missing(at(5)), at(5)).cast("double").alias("qual"), V.split_field(at(6), ";").alias("filter"), V.parse_info(at(7)).alias("info"), fmt.alias("format"), samples.alias("samples"), at(7).alias("info_text"), "ordinal",
+        F.when(~V.missing(at(5)), at(5)).cast("double").alias("qual"), V.split_field(at(6), ";").alias("filter"), V.parse_info(at(7)).alias("info"), fmt.alias("format"), samples.alias("samples"), at(7).alias("info_text"), "ordinal", *keep,
     )
 
 
@@ -213,6 +217,30 @@ def typed_info(meta: dict, names: list[str]) -> list[Column]:
     return out
 
 
+def typed_samples(meta: dict, names: list[str]) -> Column:
+    """array<struct<name, ..>> of the samples' FORMAT values by their declared Number and Type; an undeclared name is an error."""
+    kinds = {"Integer": "int", "Float": "double", "String": "string", "Character": "string"}
+    declared = {f["id"]: f for f in meta.get("format", [])}
+    if missing := [n for n in names if n not in declared]:
+        raise ValueError(f"undeclared FORMAT: {missing[0]}")
+
+    def one(s):
+        fields = [s["name"].alias("name")]
+        for n in names:
+            x, kind = s["values"][n], kinds[declared[n]["type"]]
+            fields.append((F.get(x, F.lit(0)).try_cast(kind) if declared[n]["number"] == "1" else x.try_cast(f"array<{kind}>")).alias(n))
+        return F.struct(*fields)
+
+    return F.transform("samples", one)
+
+
+def typed_variants(variants: DataFrame, meta: dict) -> DataFrame:
+    """Variants whose info is a struct and whose samples are structs, by all that the meta-information declares."""
+    info, fmt = ([f["id"] for f in meta.get(k, [])] for k in ("info", "format"))
+    out = variants.withColumn("info", F.struct(*typed_info(meta, info))) if info else variants
+    return out.withColumn("samples", typed_samples(meta, fmt)) if fmt and dict(variants.dtypes)["samples"] != "void" else out
+
+
 def vcf_line(samples: list[str]) -> Column:
     dot = lambda c: F.coalesce(c, F.lit("."))
     fixed = [F.col("chr"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), dot(F.array_join("alt", ",")), V.format_quality(F.col("qual")), dot(F.array_join("filter", ";")), F.coalesce(F.nullif(F.col("info_text"), F.lit("")), V.format_info(F.col("info")))]
