@@ -1,13 +1,16 @@
 """BGZF, BAM with its BAI index, and 2bit, as Python data sources and codecs.
 
-A BAM file is split at the record starts that its linear index names, when it has one, and read as a stream of blocks
-otherwise. A region prunes by the index; the residual test stays in the source.
+A BAM file is split at the record starts that its linear index names, when it has one; otherwise by byte ranges, each of
+which begins at the first place from which a chain of plausible records goes on. A region prunes by the index; the
+residual test stays in the source. Files are written in parts by tasks, which are then put together byte by byte.
 """
 
 from __future__ import annotations
 
 import io
 import os
+import pickle
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..storage import Folder
+
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
+_NIBBLES = str.maketrans("0123456789abcdef", BASES)
+_PLUS33 = bytes((i + 33) & 255 for i in range(256))
 BAM_SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, options array<struct<tag:string,type:string,value:string>>, end int, ordinal long"
 
 _STRINGS, _INTS = ("qname", "rname", "cigar", "rnext", "seq", "qual"), ("flag", "pos", "mapq", "pnext", "tlen", "end")
@@ -29,6 +36,8 @@ BAM_ARROW = pa.schema(
     ]
 )
 
+BAM_NEXT = BAM_ARROW.append(pa.field("next", pa.int64()))
+
 
 def compress_block(data: bytes, level: int = 6) -> bytes:
     """One BGZF block of at most 65280 bytes."""
@@ -204,14 +213,15 @@ def _cigar(text: str):
     return re.findall(r"(\d+)([MIDNSHP=X])", text)
 
 
-def decode_record(data: bytes, names: list[str]) -> dict:
+def decode_record(data: bytes, names: list[str], core: bool = False) -> dict:
+    """A record's fields; core=True leaves out seq, qual and options."""
     ref, pos, n_name, mapq, _, n_ops, flag, n_seq, nref, npos, tlen = struct.unpack_from("<2i2B3H4i", data)
     k = 32
     name, k = data[k : k + n_name - 1].decode(), k + n_name
     ops, k = struct.unpack_from(f"<{n_ops}I", data, k), k + 4 * n_ops
     packed, k = data[k : k + (n_seq + 1) // 2], k + (n_seq + 1) // 2
     qual, k = data[k : k + n_seq], k + n_seq
-    options = _options(data[k:])
+    options = [] if core and not (n_ops == 2 and ops[0] & 15 == 4 and ops[1] & 15 == 3) else _options(data[k:])
     cg = next((o for o in options if o["tag"] == "CG" and o["type"] == "B"), None)
     if n_ops == 2 and ops[0] & 15 == 4 and ops[1] & 15 == 3 and cg:
         ops = [int(x) for x in cg["value"].split(",")[1:]]
@@ -221,7 +231,7 @@ def decode_record(data: bytes, names: list[str]) -> dict:
     return {
         "qname": name, "flag": flag, "rname": rname, "pos": pos + 1, "mapq": mapq, "cigar": "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*",
         "rnext": "*" if nref < 0 else "=" if nref == ref else names[nref], "pnext": npos + 1, "tlen": tlen,
-        "seq": "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq] or "*", "qual": "*" if not n_seq or qual[0] == 255 else "".join(chr(q + 33) for q in qual),
+        "seq": None if core else packed.hex().translate(_NIBBLES)[:n_seq] or "*", "qual": None if core else "*" if not n_seq or qual[0] == 255 else qual.translate(_PLUS33).decode("latin-1"),
         "options": options, "end": pos + max(span, 1),
     }
 
@@ -272,6 +282,19 @@ class BaiBuilder:
         m[1] = end_offset
         m[3 if flag & 4 else 2] += 1
 
+    def append(self, other: BaiBuilder, base: int) -> None:
+        """Adds an index of later records, whose offsets count from byte `base`."""
+        base <<= 16
+        for k, (bins, linear, meta) in enumerate(zip(other.bins, other.linear, other.meta)):
+            for number, chunks in bins.items():
+                self.bins[k].setdefault(number, []).extend([a + base, b + base] for a, b in chunks)
+            for w, at in linear.items():
+                self.linear[k].setdefault(w, at + base)
+            if meta[0] is not None:
+                m = self.meta[k]
+                self.meta[k] = [m[0] if m[0] is not None else meta[0] + base, meta[1] + base, m[2] + meta[2], m[3] + meta[3]]
+        self.unplaced += other.unplaced
+
     def to_bytes(self) -> bytes:
         out = b"BAI\x01" + struct.pack("<i", len(self.bins))
         for bins, linear, meta in zip(self.bins, self.linear, self.meta):
@@ -304,28 +327,73 @@ def spans(index, start: int, end: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def write_parts(rows: DataFrame, encode, path: str, head: bytes, tail: bytes = EOF_BLOCK) -> list[tuple[int, bytes]]:
+    """Writes a file of parts: encode(batches) of a partition gives (bytes, note); parts follow one another in order of partition.
+
+    Tasks write parts to the shared folder; the driver only copies their bytes. Gives (first byte of a part, its note).
+    """
+    folder = Folder.new(rows.sparkSession, "parts")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        data, note = encode(batches)
+        folder.write(f"{part:07d}", data)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([note], pa.binary())], names=["part", "note"])
+
+    try:
+        notes, out = sorted((r["part"], bytes(r["note"])) for r in rows.mapInArrow(run, "part int, note binary").collect()), []
+        with open(path, "wb") as f:
+            f.write(head)
+            for part, note in notes:
+                out.append((f.tell(), note))
+                f.write(folder.read(f"{part:07d}"))
+            f.write(tail)
+        return out
+    finally:
+        folder.drop()
+
+
+def bgzf(data: bytes) -> bytes:
+    """Blocks of data, without the last empty one."""
+    out = io.BytesIO()
+    w = BgzfWriter(out)
+    w.write(data)
+    if w.buffer:
+        w._flush(len(w.buffer))
+    return out.getvalue()
+
+
 def write_bam(alignments: DataFrame, path: str, header: dict, index: bool = False) -> None:
-    """One BAM file from rows in their order. Rows come to the driver a partition at a time, as one file has one writer."""
+    """One BAM file from rows in their order, and its BAI. A part of a partition's size is in a task at once."""
     from .text import format_sam_header
 
     refs = [(s["SN"], int(s["LN"])) for s in header.get("SQ", [])]
     ids = {n: i for i, (n, _) in enumerate(refs)}
     text = ("\n".join(format_sam_header(header)) + "\n").encode()
-    builder = BaiBuilder(len(refs)) if index else None
-    with open(path, "wb") as raw:
-        w = BgzfWriter(raw)
-        w.write(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)))
-        for n, length in refs:
-            w.write(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length))
-        for r in alignments.toLocalIterator():
-            r = r.asDict(recursive=True)
-            before = w.tell()
-            w.write(encode_record(r, ids))
-            if builder:
-                span = sum(int(n) for n, o in _cigar(r["cigar"]) if o in "MDN=X") or 1
-                builder.add(ids.get(r["rname"], -1), r["pos"], r["pos"] + span - 1, r["flag"], before, w.tell())
-        w.close()
-    if builder:
+    head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in refs)
+
+    def encode(batches):
+        out = io.BytesIO()
+        w, builder = BgzfWriter(out), BaiBuilder(len(refs))
+        for batch in batches:
+            for r in batch.to_pylist():
+                before = w.tell()
+                w.write(encode_record(r, ids))
+                if index:
+                    span = sum(int(n) for n, o in _cigar(r["cigar"]) if o in "MDN=X") or 1
+                    builder.add(ids.get(r["rname"], -1), r["pos"], r["pos"] + span - 1, r["flag"], before, w.tell())
+        if w.buffer:
+            w._flush(len(w.buffer))
+        return out.getvalue(), pickle.dumps(builder) if index else b""
+
+    parts = write_parts(alignments, encode, path, bgzf(head))
+    if index:
+        builder = BaiBuilder(len(refs))
+        for base, note in parts:
+            builder.append(pickle.loads(note), base)
         with open(path + ".bai", "wb") as out:
             out.write(builder.to_bytes())
 
@@ -336,10 +404,59 @@ class _Range(InputPartition):
         self.beg, self.end = beg, end
 
 
+class _Bytes(_Range):
+    """A range of bytes of a file without an index."""
+
+
+def _plausible(data: bytes, k: int, refs: int) -> int | None:
+    """Where the record at k ends, if it may be one."""
+    if k + 36 > len(data):
+        return None
+    size, ref, pos, n_name, _, _, n_ops, _, n_seq, nref, npos, _ = struct.unpack_from("<3i2B3H4i", data, k)
+    least = 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq
+    if not (n_name > 1 and -1 <= ref < refs and -1 <= nref < refs and pos >= -1 and npos >= -1 and n_seq >= 0 and least <= size < 1 << 28):
+        return None
+    name = data[k + 36 : k + 35 + n_name]
+    if data[k + 35 + n_name : k + 36 + n_name] not in (b"\0", b"") or not all(33 <= c <= 126 for c in name):
+        return None
+    return k + 4 + size
+
+
+def _chained(data: bytes, k: int, refs: int, chain: int) -> bool:
+    """Do plausible records follow one another from k on, `chain` of them or to the end of the data?"""
+    for n in range(chain):
+        if k + 36 > len(data):
+            return n > 0
+        k = _plausible(data, k, refs)
+        if k is None:
+            return False
+    return True
+
+
+def first_record(raw, offset: int, size: int, refs: int, chain: int = 8) -> int | None:
+    """Virtual offset of the first record that begins in a block at or after a byte offset."""
+    from .indexed import next_block
+
+    at = next_block(raw, offset, size)
+    while at is not None:
+        src = BgzfReader(raw, at << 16)
+        if not src._block():
+            return None
+        own, data = len(src.data), src.data
+        while len(data) < own + (1 << 17) and src._block():
+            data += src.data
+        for k in range(own):
+            if _chained(data, k, refs, chain):
+                return at << 16 | k
+        at = next_block(raw, at + 1, size)
+    return None
+
+
 class _BamReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.chr = options["path"], options.get("chr")
-        self.start, self.end = int(options.get("start", 1)), int(options.get("end", (1 << 29)))
+        self.start, self.end = int(options.get("start", 1)), int(options["end"]) if "end" in options else None
+        self.split, self.columns = int(options.get("split", 64 << 20)), options.get("columns")
 
     def partitions(self):
         with open(self.path, "rb") as raw:
@@ -348,56 +465,85 @@ class _BamReader(DataSourceReader):
             first = src.tell()
         bai = next((p for p in (self.path + ".bai", self.path[:-4] + ".bai") if os.path.exists(p)), None)
         if bai is None:
-            return [_Range(first, None)]
+            size = os.path.getsize(self.path)
+            return [_Bytes(a, a + self.split if a + self.split < size else None) for a in range(0, size, self.split)]
         with open(bai, "rb") as f:
             index = read_bai(f.read())
-        if self.chr is not None and self.chr != "*":
+        if self.chr == "*":  # reads without a place come after all others
+            return [_Range(max([first, *(b for bins, _ in index for number, chunks in bins.items() if number < 37450 for _, b in chunks)]), None)]
+        if self.chr is not None:
             k = next((i for i, (n, _) in enumerate(refs) if n == self.chr), None)
-            found = [] if k is None else spans(index[k], self.start, self.end)
+            # a BAI knows 2^29 bases; what lies beyond is in none of its bins
+            length = refs[k][1] if k is not None else 0
+            if length > 1 << 29:
+                return [_Range(first, None)]
+            found = [] if k is None else spans(index[k], self.start, min(self.end or 1 << 29, 1 << 29))
             return [_Range(a, b) for a, b in found] or [_Range(first, first)]
         cuts = sorted({first, *(o for _, linear in index for o in linear[:: max(1, len(linear) // 64)] if o > first)})
         return [_Range(a, b) for a, b in zip(cuts, [*cuts[1:], None])]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        schema, held = BAM_ARROW, []
+        names = self.columns.split(",") if self.columns else BAM_ARROW.names
+        schema, held = pa.schema([BAM_NEXT.field(n) for n in names]), []
+        core = not {"seq", "qual", "options"} & set(names)
         with open(self.path, "rb") as raw:
-            _, refs = read_bam_header(BgzfReader(raw))
-            names = [n for n, _ in refs]
-            src = BgzfReader(raw, partition.beg)
-            while partition.end is None or src.tell() < partition.end:
+            src = BgzfReader(raw)
+            _, refs = read_bam_header(src)
+            beg, end, known = partition.beg, partition.end, [n for n, _ in refs]
+            if isinstance(partition, _Bytes):
+                size = os.path.getsize(self.path)
+                beg = first_record(raw, beg, size, len(refs)) if beg else src.tell()
+                end = first_record(raw, end, size, len(refs)) if end else None
+                if beg is None:
+                    return
+            src = BgzfReader(raw, beg)
+            while end is None or src.tell() < end:
                 at = src.tell()
                 head = src.read(4)
                 if len(head) < 4:
                     break
-                r = decode_record(src.read(struct.unpack("<i", head)[0]), names)
-                if self.chr is not None and (r["rname"] != self.chr or (self.chr != "*" and (r["end"] < self.start or r["pos"] > self.end))):
+                r = decode_record(src.read(struct.unpack("<i", head)[0]), known, core)
+                if self.chr is not None and (r["rname"] != self.chr or (self.chr != "*" and (r["end"] < self.start or (self.end is not None and r["pos"] > self.end)))):
                     continue
-                held.append(r | {"ordinal": at})
+                held.append(r | {"ordinal": at, "next": src.tell()})
                 if len(held) == 5000:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in held], schema=schema)
                     held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in held], schema=schema)
 
 
 class BamSource(DataSource):
-    """format("bam"): options chr, start, end; `ordinal` is a record's virtual offset."""
+    """format("bam"): options chr, start, end, columns (names, by commas), split (bytes).
+
+    `ordinal` is a record's virtual offset; `next`, if asked for among the columns, that of the one after it.
+    """
 
     @classmethod
     def name(cls):
         return "bam"
 
     def schema(self):
-        return BAM_SCHEMA
+        kinds = {x.split(" ", 1)[0]: x for x in [*re.split(r", (?=\w+ )", BAM_SCHEMA), "next long"]}
+        return ", ".join(kinds[n] for n in self.options["columns"].split(",")) if "columns" in self.options else BAM_SCHEMA
 
     def reader(self, schema):
         return _BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str, chr: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:  # noqa: A002
+#: what a scan of a part of the fields is good for
+MODES = {
+    "region": ("rname", "pos", "end"), "coordinate": ("rname", "pos", "flag", "end"), "queryname": ("qname", "flag"), "pointer": ("rname", "pos", "end", "flag", "ordinal", "next"),
+    "normal": tuple(BAM_ARROW.names),
+}
+
+
+def read_bam(spark: SparkSession, path: str, chr: str | None = None, start: int | None = None, end: int | None = None, columns: tuple[str, ...] | str | None = None, split: int | None = None) -> DataFrame:  # noqa: A002
+    """columns: names, or one of MODES; fields that aren't asked for aren't decoded."""
+    columns = ",".join(MODES.get(columns, columns)) if columns else None
     spark.dataSource.register(BamSource)
     r = spark.read.format("bam").option("path", path)
-    for k, x in (("chr", chr), ("start", start), ("end", end)):
+    for k, x in (("chr", chr), ("start", start), ("end", end), ("columns", columns), ("split", split)):
         if x is not None:
             r = r.option(k, str(x))
     return r.load()

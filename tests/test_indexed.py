@@ -108,3 +108,43 @@ def test_typed_variants(spark, tmp_path):
     assert (a.samples[0]["values"]["GT"], b.samples[0]["values"]["GT"]) == (["0/0"], ["0/1"])
     assert (a.samples[0]["values"]["PL"], b.samples[0]["values"]["PL"]) == (["1", "2", "3"], ["1", "4", "6"])
     assert (a.samples[1]["values"]["PL"], b.samples[1]["values"]["PL"]) == (["0", "1", "2", "3"], ["0", "4", "7", "9"])
+
+
+def test_bam_splits_parts_and_index(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandwise.sources import binary
+
+    rng = random.Random(4)
+    rows, at = [], 0
+    for i in range(9000):
+        at = at + rng.randint(0, 60) if i % 3000 else 1
+        n = rng.randint(1, 120)
+        seq = "".join(rng.choice("ACGTN") for _ in range(n))
+        placed = i < 8900
+        rows.append((f"read{i}", 0 if placed else 4, f"c{i // 3000}" if placed else "*", at if placed else 0, 30, f"{n}M" if placed else "*", "*", 0, 0, seq, "".join(chr(33 + rng.randint(0, 60)) for _ in range(n)), [("NM", "i", str(i % 300)), ("XZ", "Z", "x" * (i % 5))], i))
+    schema = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, options array<struct<tag:string,type:string,value:string>>, ordinal long"
+    df = spark.createDataFrame(rows, schema).repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal")
+    header = {"HD": {"VN": "1.6", "SO": "coordinate"}, "SQ": [{"SN": f"c{k}", "LN": 1_000_000} for k in range(3)]}
+    path = f"{tmp_path}/a.bam"
+    binary.write_bam(df, path, header)
+    columns = schema.replace(", ordinal long", "").split(", ")
+    names = [c.split()[0] for c in columns if " " in c][:11]
+    want = [tuple(r[:11]) for r in rows]
+    for split in (3000, 40_000, 1 << 30):
+        got = binary.read_bam(spark, path, split=split)
+        assert [tuple(r) for r in got.orderBy("ordinal").select(*names).collect()] == want
+    assert got.select("options").orderBy(got.ordinal).first()["options"][0]["value"] == "0"
+    indexed.build_bai(spark, path)
+    built = binary.read_bai(open(path + ".bai", "rb").read())
+    other = f"{tmp_path}/b.bam"
+    binary.write_bam(df, other, header, index=True)
+    for index in (built, binary.read_bai(open(other + ".bai", "rb").read())):
+        assert len(index) == 3 and sum(len(linear) for _, linear in index) > 6
+    for file in (path, other):
+        for chrom, start, end in (("c1", 5000, 5200), ("c2", 1, None), ("c0", 80_000, 90_000)):
+            got = binary.read_bam(spark, file, chrom, start, end, columns="coordinate")
+            assert got.columns == ["rname", "pos", "flag", "end"]
+            assert got.count() == sum(r[2] == chrom and r[3] + len(r[9]) - 1 >= start and (end is None or r[3] <= end) for r in rows)
+        assert binary.read_bam(spark, file, "*", columns="queryname").count() == 100
+    assert binary.read_bam(spark, path).where(F.col("seq").isNull()).count() == 0
