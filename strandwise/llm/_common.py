@@ -123,6 +123,14 @@ def span_hashes(tokens: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
     return mix((prefix[start + length] - prefix[start]) * ipw[start] + length.astype(np.uint64))
 
 
+def lend_large() -> None:
+    """Has large arrays mapped one by one, so that each goes back to the system when it is freed, not when the heap's end is."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD; a set one no longer grows
+    except (OSError, AttributeError):  # not a glibc system
+        pass
+
+
 def trim() -> None:
     """Gives freed memory back to the system; Python workers live on between stages."""
     pa.default_memory_pool().release_unused()
