@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -559,34 +560,43 @@ def bam_header(path: str) -> dict:
 # --- 2bit
 
 
-def _runs(seq: str, test) -> list[tuple[int, int]]:
-    out, start = [], None
-    for i, c in enumerate(seq + "\0"):
-        if test(c):
-            start = i if start is None else start
-        elif start is not None:
-            out.append((start, i - start))
-            start = None
-    return out
+_CODES = np.zeros(256, np.uint8)
+for _c, _v in (("T", 0), ("C", 1), ("A", 2), ("G", 3)):
+    _CODES[[ord(_c), ord(_c.lower())]] = _v
+_LETTERS = np.array([[ord("TCAG"[b >> s & 3]) for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
 
 
-def encode_twobit(sequences: list[tuple[str, str]]) -> bytes:
-    head = b"\x43\x27\x41\x1a" + struct.pack("<3I", 0, len(sequences), 0)
-    at, index, bodies = len(head) + sum(5 + len(n.encode()) for n, _ in sequences), b"", b""
-    for name, seq in sequences:
-        n_blocks, masks = _runs(seq, lambda c: c in "Nn"), _runs(seq, str.islower)
-        codes = [{"T": 0, "C": 1, "A": 2, "G": 3}.get(c, 0) for c in seq.upper()]
-        codes += [0] * (-len(codes) % 4)
-        packed = bytes(a << 6 | b << 4 | c << 2 | d for a, b, c, d in zip(*[iter(codes)] * 4))
-        block = lambda xs: struct.pack(f"<I{2 * len(xs)}I", len(xs), *[s for s, _ in xs], *[n for _, n in xs])
-        body = struct.pack("<I", len(seq)) + block(n_blocks) + block(masks) + struct.pack("<I", 0) + packed
+def _runs(where: np.ndarray) -> list[tuple[int, int]]:
+    """(start, length) of the runs of True."""
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], where, [False]]).astype(np.int8)))
+    return list(zip(turn[::2].tolist(), (turn[1::2] - turn[::2]).tolist()))
+
+
+def encode_sequence(seq: str) -> bytes:
+    """A sequence's record: length, runs of N and of lower case, and four bases a byte."""
+    x = np.frombuffer(seq.encode(), np.uint8)
+    codes = np.concatenate([_CODES[x], np.zeros(-len(x) % 4, np.uint8)]).reshape(-1, 4)
+    packed = (codes << np.array([6, 4, 2, 0], np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
+    block = lambda xs: struct.pack(f"<I{2 * len(xs)}I", len(xs), *[s for s, _ in xs], *[n for _, n in xs])
+    return struct.pack("<I", len(seq)) + block(_runs((x == 78) | (x == 110))) + block(_runs(x > 96)) + struct.pack("<I", 0) + packed
+
+
+def twobit_head(names: list[str], sizes: list[int]) -> bytes:
+    head = b"\x43\x27\x41\x1a" + struct.pack("<3I", 0, len(names), 0)
+    at, index = len(head) + sum(5 + len(n.encode()) for n in names), b""
+    for name, size in zip(names, sizes):
         index += bytes([len(name.encode())]) + name.encode() + struct.pack("<I", at)
-        at, bodies = at + len(body), bodies + body
-    return head + index + bodies
+        at += size
+    return head + index
 
 
-def decode_twobit(raw, name: str | None = None, mask: bool = False) -> Iterator[tuple[str, str]]:
-    """(name, sequence) of all or one sequence of a file object, in either byte order."""
+def encode_twobit(sequences: list[tuple[str, str]]) -> bytes:
+    bodies = [encode_sequence(s) for _, s in sequences]
+    return twobit_head([n for n, _ in sequences], [len(b) for b in bodies]) + b"".join(bodies)
+
+
+def twobit_index(raw) -> tuple[str, list[tuple[str, int]]]:
+    """(byte order, (name, place) of each sequence)."""
     magic = raw.read(4)
     e = "<" if magic == b"\x43\x27\x41\x1a" else ">"
     if magic not in (b"\x43\x27\x41\x1a", b"\x1a\x41\x27\x43"):
@@ -596,39 +606,80 @@ def decode_twobit(raw, name: str | None = None, mask: bool = False) -> Iterator[
     for _ in range(n):
         own = raw.read(raw.read(1)[0]).decode()
         index.append((own, struct.unpack(e + "I", raw.read(4))[0]))
+    return e, index
+
+
+def decode_region(raw, e: str, at: int, start: int = 1, end: int | None = None, mask: bool = False) -> str | None:
+    """Bases of a region of the sequence at a place, clamped to it; only its bytes are read."""
+    raw.seek(at)
+    size = struct.unpack(e + "I", raw.read(4))[0]
+    lists = []
+    for _ in range(2):
+        m = struct.unpack(e + "I", raw.read(4))[0]
+        xs = np.frombuffer(raw.read(8 * m), e + "u4").astype(np.int64)
+        lists.append((xs[:m], xs[:m] + xs[m:]))
+    raw.read(4)
+    lo, hi = max(start, 1) - 1, size if end is None else min(end, size)
+    if lo >= hi:
+        return "" if size == 0 else None
+    raw.seek(lo // 4, 1)
+    out = _LETTERS[np.frombuffer(raw.read((hi + 3) // 4 - lo // 4), np.uint8)].reshape(-1)[lo % 4 :][: hi - lo].copy()
+    for k, (a, b) in enumerate(lists[: 1 + mask]):
+        for i in np.flatnonzero((a < hi) & (b > lo)):
+            part = slice(max(int(a[i]) - lo, 0), int(b[i]) - lo)
+            out[part] = 78 if not k else out[part] | 32
+    return out.tobytes().decode()
+
+
+def decode_twobit(raw, name: str | None = None, mask: bool = False) -> Iterator[tuple[str, str]]:
+    """(name, sequence) of all or one sequence of a file object, in either byte order."""
+    e, index = twobit_index(raw)
     for own, at in index:
-        if name is not None and own != name:
-            continue
-        raw.seek(at)
-        size = struct.unpack(e + "I", raw.read(4))[0]
-        lists = []
-        for _ in range(2):
-            m = struct.unpack(e + "I", raw.read(4))[0]
-            xs = struct.unpack(f"{e}{2 * m}I", raw.read(8 * m))
-            lists.append(list(zip(xs[:m], xs[m:])))
-        raw.read(4)
-        packed = raw.read((size + 3) // 4)
-        seq = list("".join("TCAG"[b >> 6] + "TCAG"[b >> 4 & 3] + "TCAG"[b >> 2 & 3] + "TCAG"[b & 3] for b in packed)[:size])
-        for s, k in lists[0]:
-            seq[s : s + k] = "N" * k
-        for s, k in lists[1] if mask else []:
-            seq[s : s + k] = "".join(seq[s : s + k]).lower()
-        yield own, "".join(seq)
+        if name is None or own == name:
+            yield own, decode_region(raw, e, at, mask=mask)
+
+
+def read_twobit_region(path: str, chr: str, start: int = 1, end: int | None = None, mask: bool = False) -> str | None:  # noqa: A002
+    """Bases of a region; null for an unknown name or nothing."""
+    with open(path, "rb") as raw:
+        e, index = twobit_index(raw)
+        at = dict(index).get(chr)
+        return None if at is None else decode_region(raw, e, at, start, end, mask)
 
 
 def read_twobit(spark: SparkSession, path: str, mask: bool = False) -> DataFrame:
-    """name, sequence; a file is read by one task, a sequence at a time."""
+    """name, sequence: the driver reads the index, and each sequence is read by a task that seeks to it."""
+    with open(path, "rb") as raw:
+        names = [n for n, _ in twobit_index(raw)[1]]
 
     def run(batches):
         for b in batches:
-            for content in b.column("content").to_pylist():
-                for name, seq in decode_twobit(io.BytesIO(content), mask=mask):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seq])], names=["name", "sequence"])
+            for name in b.column("name").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([read_twobit_region(path, name, mask=mask)])], names=["name", "sequence"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, sequence string")
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 200))).mapInArrow(run, "name string, sequence string")
 
 
 def write_twobit(sequences: DataFrame, path: str) -> None:
-    """One file; sequences come to the driver one at a time, as its index precedes them all."""
-    with open(path, "wb") as out:
-        out.write(encode_twobit([(r["name"], r["sequence"]) for r in sequences.select("name", "sequence").toLocalIterator()]))
+    """One file of sequences in their order; tasks encode and write them, the index follows from their sizes."""
+    folder = Folder.new(sequences.sparkSession, "twobit")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, k = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for name, seq in zip(b.column("name").to_pylist(), b.column("sequence").to_pylist()):
+                body = encode_sequence(seq)
+                folder.write(f"{part:07d}-{k:09d}", body)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part:07d}-{k:09d}"]), pa.array([name]), pa.array([len(body)], pa.int64())], names=["file", "name", "size"])
+                k += 1
+
+    try:
+        rows = sorted(sequences.select("name", "sequence").mapInArrow(run, "file string, name string, size long").collect())
+        with open(path, "wb") as out:
+            out.write(twobit_head([r["name"] for r in rows], [r["size"] for r in rows]))
+            for r in rows:
+                out.write(folder.read(r["file"]))
+    finally:
+        folder.drop()

@@ -512,13 +512,9 @@ def file_type_of(head: bytes) -> str | None:
 
 def read(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     """Reads by format (default: by extension)."""
-    from . import binary
+    from . import convert
 
-    readers = {"sam": read_sam, "bed": read_bed, "vcf": read_vcf, "fasta": read_fasta, "fastq": read_fastq, "gff3": read_gff, "wig": read_wig, "pileup": read_pileup, "bam": binary.read_bam, "2bit": binary.read_twobit}
-    kind = kind or file_type(path)
-    if kind not in readers:
-        raise ValueError(f"no reader for {path}")
-    return readers[kind](spark, path, **options)
+    return convert.read(spark, path, kind, **options)
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
