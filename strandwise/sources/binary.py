@@ -328,10 +328,11 @@ def spans(index, start: int, end: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def write_parts(rows: DataFrame, encode, path: str, head: bytes, tail: bytes = EOF_BLOCK) -> list[tuple[int, bytes]]:
+def write_parts(rows: DataFrame, encode, path: str, head: bytes, tail: bytes = EOF_BLOCK, place=None) -> list[tuple[int, bytes]]:
     """Writes a file of parts: encode(batches) of a partition gives (bytes, note); parts follow one another in order of partition.
 
-    Tasks write parts to the shared folder; the driver only copies their bytes. Gives (first byte of a part, its note).
+    Tasks write parts to the shared folder; the driver only copies their bytes, or what place(bytes, first byte) makes of
+    them. Gives (first byte of a part, its note).
     """
     folder = Folder.new(rows.sparkSession, "parts")
 
@@ -349,7 +350,8 @@ def write_parts(rows: DataFrame, encode, path: str, head: bytes, tail: bytes = E
             f.write(head)
             for part, note in notes:
                 out.append((f.tell(), note))
-                f.write(folder.read(f"{part:07d}"))
+                data = folder.read(f"{part:07d}")
+                f.write(place(data, f.tell()) if place else data)
             f.write(tail)
         return out
     finally:

@@ -9,19 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alignments as A
-from . import bcf, bigwig, binary, text
+from . import bcf, bigwig, binary, cram, text
 
-ALIGNMENTS, VARIANTS, SEQUENCES, READS = {"sam", "bam"}, {"vcf", "bcf"}, {"fasta", "2bit"}, {"fastq"}
+ALIGNMENTS, VARIANTS, SEQUENCES, READS = {"sam", "bam", "cram"}, {"vcf", "bcf"}, {"fasta", "2bit"}, {"fastq"}
 KINDS = {k: kind for kind, names in (("alignments", ALIGNMENTS), ("variants", VARIANTS), ("sequences", SEQUENCES), ("reads", READS), ("features", {"bed", "gff3"}), ("values", {"wig", "bigwig"}), ("pileup", {"pileup"})) for k in names}
 
 READERS = {
-    "sam": text.read_sam, "bam": binary.read_bam, "vcf": text.read_vcf, "bcf": bcf.read_bcf, "fasta": text.read_fasta, "2bit": binary.read_twobit, "fastq": text.read_fastq,
+    "sam": text.read_sam, "bam": binary.read_bam, "cram": cram.read_cram, "vcf": text.read_vcf, "bcf": bcf.read_bcf, "fasta": text.read_fasta, "2bit": binary.read_twobit, "fastq": text.read_fastq,
     "bed": text.read_bed, "gff3": text.read_gff, "wig": text.read_wig, "bigwig": bigwig.read_bigwig, "pileup": text.read_pileup,
 }
 
 
 def _header(spark: SparkSession, path: str) -> dict:
-    return binary.bam_header(path) if text.file_type(path) == "bam" else text.read_sam_header(spark, path)
+    kind = text.file_type(path)
+    return binary.bam_header(path) if kind == "bam" else cram.cram_header(path) if kind == "cram" else text.read_sam_header(spark, path)
 
 
 def _meta(spark: SparkSession, path: str) -> dict:
@@ -30,6 +31,7 @@ def _meta(spark: SparkSession, path: str) -> dict:
 
 WRITERS = {
     "sam": lambda df, path, header=None, **o: text.write_sam(df, path, header), "bam": lambda df, path, header=None, **o: binary.write_bam(df, path, header or {}, **o),
+    "cram": lambda df, path, header=None, **o: cram.write_cram(df, path, header or {}, **o),
     "vcf": lambda df, path, meta=None, **o: text.write_vcf(df, path, meta or {}, **o), "bcf": lambda df, path, meta=None, **o: bcf.write_bcf(df, path, meta or {}),
     "fasta": text.write_fasta, "2bit": binary.write_twobit, "fastq": text.write_fastq, "bed": text.write_bed, "gff3": text.write_gff, "wig": text.write_wig, "pileup": text.write_pileup,
 }
