@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .binary import BgzfReader, BgzfWriter
+from .binary import BgzfReader, BgzfWriter, bgzf, write_parts
 
 SPLIT = 64 << 20
 
@@ -315,6 +315,17 @@ def read_vcf_region(spark: SparkSession, path: str, chr: str, start: int = 1, en
     return in_region(rows.withColumn("_last", last), chr, end=end).where(F.col("_last") >= start).drop("_last")
 
 
+def write_vcf_bgzf(variants: DataFrame, path: str, meta: dict, index: bool = False) -> None:
+    """One BGZF VCF file of variants in their order, and its CSI index; tasks compress the parts."""
+    from . import text
+
+    rows = variants.select(text.vcf_line(meta.get("columns", [])[9:]).alias("value"))
+    head = "".join(x + "\n" for x in text.format_meta(meta)).encode()
+    write_parts(rows, lambda batches: (bgzf(b"".join(x.encode() + b"\n" for b in batches for x in b.column("value").to_pylist())), b""), path, bgzf(head))
+    if index:
+        build_vcf_index(variants.sparkSession, path)
+
+
 # --- building
 
 

@@ -1,18 +1,21 @@
 """Text formats as DataFrames: readers and writers.
 
-Formats of one line a record are `spark.read.text` and expressions, so files split and filters prune columns. Formats
-whose lines depend on earlier ones (FASTA, FASTQ, WIG, the end marks of GFF3) are read a file at a time by
-Arrow passes over the files; their files are the unit of parallelism.
+Formats of one line a record are `spark.read.text` and expressions, so files split and filters prune columns. FASTQ is
+read in byte ranges that begin at a record. FASTA without an index and WIG, whose lines depend on earlier ones, are read a
+file at a time by Arrow passes over the files; an indexed FASTA is read in chunks (see `indexed`).
 """
 
 from __future__ import annotations
 
+import json
 import re
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import cigar as C
 from ..functions import regions, tags
@@ -278,9 +281,6 @@ def _by_file(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], schema=target)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     fields = StructType.fromDDL(schema)
     target = to_arrow_schema(fields)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -338,46 +338,165 @@ def fasta_index(lines) -> list[tuple[str, int, int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, quality."""
+class _Piece(InputPartition):
+    def __init__(self, path: str, beg: int, end: int | None):
+        super().__init__((path, beg, end))
+        self.path, self.beg, self.end = path, beg, end
 
-    def parse(lines):
-        it = iter(lines)
-        for head in it:
-            if not head:
-                continue
-            sequence, plus, quality = next(it), next(it), next(it)
-            if not head.startswith("@") or not plus.startswith("+") or len(sequence) != len(quality):
-                raise ValueError(f"malformed FASTQ record: {head}")
-            yield head[1:], sequence, quality
 
-    return _by_file(spark, path, parse, "name string, sequence string, quality string")
+def _records(lines):
+    """(name, sequence, quality) of lines of bytes."""
+    it = iter(lines)
+    for head in it:
+        head = head.rstrip(b"\r\n")
+        if not head:
+            continue
+        sequence, plus, quality = (next(it, b"").rstrip(b"\r\n") for _ in range(3))
+        if not head.startswith(b"@") or not plus.startswith(b"+") or len(sequence) != len(quality):
+            raise ValueError(f"malformed FASTQ record: {head.decode()}")
+        yield head[1:].decode(), sequence.decode(), quality.decode()
+
+
+def _first_read(raw, offset: int) -> int:
+    """Where the first record at or after a byte offset begins: @ on a line, + two lines on, and lines as long as one another."""
+    raw.seek(max(offset - 1, 0))
+    if offset:
+        raw.readline()
+    held: list[tuple[int, bytes]] = []
+    while True:
+        at, line = raw.tell(), raw.readline()
+        held.append((at, line.rstrip(b"\r\n")))
+        if len(held) == 4:
+            (first, a), (_, s), (_, plus), (_, q) = held
+            if a.startswith(b"@") and plus.startswith(b"+") and len(s) == len(q):
+                return first
+            held.pop(0)
+        if not line:
+            return at
+
+
+class _FastqReader(DataSourceReader):
+    def __init__(self, options):
+        self.files, self.split = json.loads(options["files"]), int(options.get("split", 64 << 20))
+
+    def partitions(self):
+        out = []
+        for path, size in self.files:
+            whole = path.endswith((".gz", ".bz2", ".bgz"))
+            out += [_Piece(path, 0, None)] if whole else [_Piece(path, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+        return out or [_Piece("", 0, 0)]
+
+    def read(self, piece):
+        import bz2
+        import gzip
+
+        from pyarrow import fs
+
+        schema, held = pa.schema([(n, pa.string()) for n in ("name", "sequence", "quality")]), []
+        if not piece.path:
+            return
+        system, root = fs.FileSystem.from_uri(piece.path)
+        with system.open_input_file(root) as raw:
+            if piece.end is None:
+                lines = (bz2 if piece.path.endswith(".bz2") else gzip).open(raw)
+            else:
+                import io
+
+                raw = io.BufferedReader(raw, 1 << 20)
+                first, last = _first_read(raw, piece.beg), _first_read(raw, piece.end)
+                raw.seek(first)
+
+                def upto(end=last):
+                    while raw.tell() < end:
+                        for _ in range(4):
+                            yield raw.readline()
+
+                lines = upto()
+            for row in _records(lines):
+                held.append(row)
+                if len(held) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held)], schema=schema)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held)], schema=schema)
+
+
+class FastqSource(DataSource):
+    """format("fastq"): name, sequence, quality; options files (JSON of [URI, size]), split (bytes; compressed files don't)."""
+
+    @classmethod
+    def name(cls):
+        return "fastq"
+
+    def schema(self):
+        return "name string, sequence string, quality string"
+
+    def reader(self, schema):
+        return _FastqReader(self.options)
+
+
+def read_fastq(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+    """name, sequence, quality; a file is read in byte ranges."""
+    spark.dataSource.register(FastqSource)
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # names and sizes only
+    files = [(re.sub("^file:/+", "file:///", r["path"]), r["length"]) for r in sorted(listed)]
+    return spark.read.format("fastq").option("files", json.dumps(files)).option("split", str(split)).load()
 
 
 def write_fastq(reads: DataFrame, path: str, compression: str | None = None) -> None:
     _write_lines(reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value")), path, compression=compression)
 
 
+def _decoded(x: Column) -> Column:
+    """Percent signs undone; a plus is a plus."""
+    return F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    """chr, source, type, start, end, score, strand, phase, attributes map<string,array<string>>."""
-    strands = {"+": "forward", "-": "reverse", "?": "unknown"}
+    """chr, source, type, start, end, score, strand, phase, attributes map<string,array<string>>.
 
-    def parse(lines):
-        first = True
-        for line in lines:
-            if first:
-                if not re.match(r"##gff-version\s+3", line):
-                    raise ValueError("not a GFF3 file")
-                first = False
-            if line.startswith(("##FASTA", ">")):
-                return
-            if not line.strip() or line.startswith("#"):
-                continue
-            f = [None if x == "." else x for x in line.split("\t")]
-            pairs = [x.split("=", 1) for x in (f[8] or "").split(";") if "=" in x]
-            yield unquote(f[0]), f[1] and unquote(f[1]), f[2] and unquote(f[2]), int(f[3]), int(f[4]), f[5] and float(f[5]), strands.get(f[6]), f[7] and int(f[7]), {unquote(k.strip()): [unquote(v) for v in x.split(",")] for k, x in pairs}
+    Lines are independent of one another, so files split; what follows ##FASTA has no columns and is left out.
+    """
+    lines = spark.read.text(path)
+    if not lines.where(F.col("value").rlike(r"^##gff-version\s+3")).limit(1).count():
+        raise ValueError("not a GFF3 file")
+    f = F.split("value", "\t")
+    at = lambda i: F.nullif(F.get(f, F.lit(i)), F.lit("."))
+    strand = F.when(at(6) == "+", "forward").when(at(6) == "-", "reverse").when(at(6) == "?", "unknown")
+    pairs = F.filter(F.split(F.coalesce(at(8), F.lit("")), ";"), lambda x: x.contains("="))
+    entry = lambda x: F.struct(_decoded(F.trim(F.substring_index(x, "=", 1))).alias("key"), F.transform(F.split(F.substr(x, F.instr(x, "=") + 1), ","), _decoded).alias("value"))
+    return lines.where(~F.col("value").rlike("^[#>]") & (F.size(f) >= 8)).select(
+        _decoded(at(0)).alias("chr"), _decoded(at(1)).alias("source"), _decoded(at(2)).alias("type"), at(3).cast("long").alias("start"), at(4).cast("long").alias("end"), at(5).cast("double").alias("score"),
+        strand.alias("strand"), at(7).cast("int").alias("phase"), F.map_from_entries(F.transform(pairs, entry)).alias("attributes"),
+    )
+
+
+def gff_target(x: Column) -> Column:
+    """struct<id, start, end, strand> of a Target attribute: `id start end [strand]`."""
+    f = F.split(x, " ")
+    return F.when(F.size(f) >= 3, F.struct(F.get(f, F.lit(0)).alias("id"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"), F.when(F.get(f, F.lit(3)) == "+", "forward").when(F.get(f, F.lit(3)) == "-", "reverse").alias("strand")))
+
+
+def format_gff_target(t: Column) -> Column:
+    return F.concat_ws(" ", t["id"], t["start"].cast("string"), t["end"].cast("string"), F.when(t["strand"] == "forward", "+").when(t["strand"] == "reverse", "-"))
+
+
+def gff_gap(x: Column) -> Column:
+    """array<struct<op, n>> of a Gap attribute: `M8 D3 M6`."""
+    return F.transform(F.filter(F.split(x, " "), lambda g: g != ""), lambda g: F.struct(F.substring(g, 1, 1).alias("op"), F.substr(g, F.lit(2)).try_cast("int").alias("n")))
 
-    return _by_file(spark, path, parse, "chr string, source string, type string, start long, end long, score double, strand string, phase int, attributes map<string,array<string>>")
+
+def format_gff_gap(gap: Column) -> Column:
+    return F.array_join(F.transform(gap, lambda g: F.concat(g["op"], g["n"].cast("string"))), " ")
+
+
+def gff_reference(x: Column) -> Column:
+    """struct<db, id> of a Dbxref or Ontology_term: `db:id`, the first colon dividing them."""
+    return F.when(x.contains(":"), F.struct(F.substring_index(x, ":", 1).alias("db"), F.substr(x, F.instr(x, ":") + 1).alias("id")))
+
+
+def format_gff_reference(r: Column) -> Column:
+    return F.concat(r["db"], F.lit(":"), r["id"])
 
 
 def write_gff(features: DataFrame, path: str) -> None:
@@ -462,14 +581,19 @@ def read_pileup(spark: SparkSession, path: str) -> DataFrame:
             out.append({"base": base, "reverse": reverse, "qual": ord(quals[len(out)]) - 33, "starts": starts, "mapq": mapq, "ends": ends, "inserted": inserted, "deleted": deleted})
         return out
 
-    def parse(lines):
-        for line in lines:
-            if line:
-                f = line.split("\t")
-                n = int(f[3])
-                yield f[0], int(f[1]), f[2], n, tokens(f[4], f[5], f[2].upper()) if n else []
-
-    return _by_file(spark, path, parse, f"rname string, pos int, ref string, count int, {kind}")
+    def run(batches):
+        for b in batches:
+            rows = []
+            for line in b.column("value").to_pylist():
+                if line:
+                    f = line.split("\t")
+                    n = int(f[3])
+                    rows.append({"rname": f[0], "pos": int(f[1]), "ref": f[2], "count": n, "pile": tokens(f[4], f[5], f[2].upper()) if n else []})
+            yield pa.RecordBatch.from_pylist(rows, schema=target)
+
+    fields = StructType.fromDDL(f"rname string, pos int, ref string, count int, {kind}")
+    target = to_arrow_schema(fields)
+    return spark.read.text(path).mapInArrow(run, fields)
 
 
 def write_pileup(text: DataFrame, path: str) -> None:

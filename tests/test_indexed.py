@@ -148,3 +148,20 @@ def test_bam_splits_parts_and_index(spark, tmp_path):
             assert got.count() == sum(r[2] == chrom and r[3] + len(r[9]) - 1 >= start and (end is None or r[3] <= end) for r in rows)
         assert binary.read_bam(spark, file, "*", columns="queryname").count() == 100
     assert binary.read_bam(spark, path).where(F.col("seq").isNull()).count() == 0
+
+
+def test_fastq_splits_and_gff_attributes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    reads = []
+    for i in range(400):
+        n = rng.randint(1, 80)
+        reads.append((f"r{i}", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+IJ#") for _ in range(n))))
+    path = f"{tmp_path}/a.fq"
+    open(path, "w").write("".join(f"@{a}\n{b}\n+\n{q}\n" for a, b, q in reads))
+    for split in (50, 333, 1 << 20):
+        assert sorted(map(tuple, text.read_fastq(spark, path, split=split).collect())) == sorted(reads)
+    row = spark.range(1).select(text.gff_target(F.lit("EST 1 21 -")).alias("t"), text.gff_gap(F.lit("M8 D3")).alias("g"), text.gff_reference(F.lit("EMBL:AA:1")).alias("d"))
+    back = row.select(text.format_gff_target(F.col("t")), text.format_gff_gap(F.col("g")), text.format_gff_reference(F.col("d")), "t.*", "d.db").first()
+    assert tuple(back) == ("EST 1 21 -", "M8 D3", "EMBL:AA:1", "EST", 1, 21, "reverse", "EMBL")
