@@ -219,11 +219,62 @@ def variant_errors() -> Column:
     )
 
 
-def validate(variants: DataFrame) -> DataFrame:
-    return variants.withColumn("errors", variant_errors())
+def declared_errors(meta: dict, samples: bool = True) -> Column:
+    """array<struct<path, message>> of what is at odds with the meta-information, for variants as `read_vcf` gives them:
 
-
-def check(variants: DataFrame) -> DataFrame:
+    names of filters, INFO and FORMAT that aren't declared, other numbers of values than declared, values of another
+    type, and GT anywhere but first.
+    """
+    alts = F.coalesce(F.size("alt"), F.lit(0))
+    issue = lambda bad, path, message: F.when(F.coalesce(bad, F.lit(False)), F.struct(path.alias("path"), F.lit(message).alias("message")))
+
+    def table(kind, field):
+        found = meta.get(kind, [])
+        return F.create_map(*[F.lit(x) for f in found for x in (f["id"], f.get(field, "."))]) if found else F.create_map().cast("map<string,string>")
+
+    def values_of(entries, kind, path, ploidy):
+        numbers, types = table(kind, "number"), table(kind, "type")
+
+        def one(e):
+            n, k, size = numbers[e["key"]], types[e["key"]], F.size(e["value"])
+            at = F.concat(F.lit(path), e["key"])
+            genotypes = F.when(ploidy == 1, alts + 1).when(ploidy == 2, (alts + 1) * (alts + 2) / 2)
+            wanted = F.when(n == "A", alts).when(n == "R", alts + 1).when(n == "G", genotypes).otherwise(n.try_cast("int"))
+            alone = (size == 1) & F.get(e["value"], F.lit(0)).isNull()  # a dot stands for all values
+            wrong = lambda t: F.exists(e["value"], lambda x: x.isNotNull() & x.try_cast(t).isNull())
+            return F.coalesce(
+                issue(n.isNull(), at, "must be declared"),
+                issue((size != wanted) & ~alone, at, "must have as many values as declared"),
+                issue(((k == "Integer") & wrong("int")) | ((k == "Float") & wrong("double")) | ((k == "Character") & F.exists(e["value"], lambda x: F.length(x) > 1)), at, "must be of its declared type"),
+            )
+
+        return F.transform(entries, one)
+
+    none = F.array().cast("array<struct<path:string,message:string>>")
+    known = F.array(F.lit("PASS"), *[F.lit(f["id"]) for f in meta.get("filter", [])])
+    parts = [
+        F.coalesce(F.transform(F.filter("filter", lambda x: ~F.array_contains(known, x)), lambda x: F.struct(F.concat(F.lit("filter/"), x).alias("path"), F.lit("must be declared").alias("message"))), none),
+        F.coalesce(values_of(F.map_entries("info"), "info", "info/", F.lit(2)), none),
+    ]
+    if samples:
+        def each(s):
+            gt = F.get(s["values"]["GT"], F.lit(0))
+            return values_of(F.filter(F.map_entries(s["values"]), lambda e: F.size(e["value"]) > 0), "format", "format/", F.when(gt.isNull(), F.lit(2)).otherwise(F.size(v.parse_genotype(gt))))
+
+        parts.append(F.coalesce(F.flatten(F.transform("samples", each)), none))
+        parts.append(F.array(issue(F.array_position("format", "GT") > 1, F.lit("format"), "must begin with GT")))
+    return F.array_compact(F.concat(*parts))
+
+
+def validate(variants: DataFrame, meta: dict | None = None) -> DataFrame:
+    """The variants with `errors`; with meta-information also of what isn't as it declares."""
+    own = variant_errors()
+    if meta is not None:
+        own = F.concat(own, declared_errors(meta, dict(variants.dtypes).get("samples", "void") != "void"))
+    return variants.withColumn("errors", own)
+
+
+def check(variants: DataFrame, meta: dict | None = None) -> DataFrame:
     """The variants; reading one with errors fails."""
-    w = validate(variants)
+    w = validate(variants, meta)
     return w.withColumn("ref", F.when(F.size("errors") > 0, F.raise_error(F.to_json("errors"))).otherwise(F.col("ref"))).drop("errors")

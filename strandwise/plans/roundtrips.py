@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import variants as VF
 from ..operators import alignments as A
 from ..operators import pileup
+from ..operators import variants as V
 from ..sources import bcf, binary, convert, cram, indexed, text
 from ..storage import Folder, checkpoint
 from . import derive
@@ -125,6 +126,16 @@ query("vcf_typed", f"SELECT id, regexp_extract(info, 'DP=(\\d+)', 1)::INT AS dp,
     lambda s, d: text.typed_variants(_variants(s, d), META).select(c("id").cast("long").alias("id"), c("info.DP").alias("dp"), c("info.DB").alias("db"), F.get("samples", F.lit(0))["GT"].alias("gt"))
 )
 
+_WRONG = "CASE WHEN id % 7 = 0 THEN replace(info, 'DP=', 'DP=1,') WHEN id % 11 = 0 THEN concat(info, ';XX=1') WHEN id % 13 = 0 THEN replace(info, 'DP=', 'DP=x') ELSE info END"
+query("validate_declared", f"SELECT id, CASE WHEN id % 7 = 0 THEN 'info/DP' WHEN id % 11 = 0 THEN 'info/XX' WHEN id % 13 = 0 THEN 'info/DP' ELSE '' END || CASE WHEN id % 5 = 0 THEN 'format/AD' ELSE '' END AS paths FROM {VR}")(
+    lambda s, d: V.validate(
+        _variants(s, d)
+        .withColumn("info", VF.parse_info(F.expr(_WRONG.replace("info", "info_text"))))
+        .withColumn("samples", F.transform("samples", lambda x: F.struct(x["name"].alias("name"), F.when(c("id") % 5 == 0, F.map_concat(x["values"], F.create_map(F.lit("AD"), F.array(F.lit("1"))))).otherwise(x["values"]).alias("values")))),
+        META,
+    ).select(c("id").cast("long").alias("id"), F.array_join(F.transform("errors", lambda e: e["path"]), "").alias("paths"))
+)
+
 # --- features, sequences, values, piles
 
 query("file_bed", f'SELECT chr, pos_s AS "start", pos_e AS "end", id::VARCHAR AS name FROM {I}')(lambda s, d: through(s, lambda p: text.write_bed(derive.intervals(s, d).withColumn("name", c("id").cast("string")), f"{p}/a.bed", 4), lambda p: text.read_bed(s, f"{p}/a.bed").select("chr", "start", "end", "name")))
