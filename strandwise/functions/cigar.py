@@ -34,7 +34,8 @@ def simplify(cigar: Column) -> Column:
 
 
 def length_of(cigar: Column, ops: tuple[str, ...]) -> Column:
-    return F.aggregate(F.filter(parse(cigar), lambda x: x["op"].isin(*ops)), F.lit(0), lambda a, x: a + x["n"])
+    counts = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{''.join(ops)}]"), F.lit(1))
+    return F.aggregate(counts, F.lit(0), lambda a, x: a + x.cast("int"))
 
 
 def reference_length(cigar: Column) -> Column:
@@ -47,13 +48,12 @@ def query_length(cigar: Column) -> Column:
 
 
 def count_ops(cigar: Column) -> Column:
-    return F.size(parse(cigar))
+    return F.size(F.regexp_extract_all(cigar, F.lit(OP), F.lit(0)))
 
 
 def end(pos: Column, cigar: Column) -> Column:
     """Last reference position; pos itself if the CIGAR spans none."""
-    n = reference_length(cigar)
-    return F.when(n == 0, pos).otherwise(pos + n - 1)
+    return pos + F.greatest(reference_length(cigar) - 1, F.lit(0))
 
 
 def encode(cigar: Column) -> Column:
