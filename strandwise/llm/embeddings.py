@@ -1,7 +1,7 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
 Each unit vector is rotated at random and coded by its signs, with the inner product of the code and the rotated vector
-stored as its correction factor f. <code, q> / f estimates a cosine without bias, within sqrt(1 - f^2) / f *
+stored with it as its correction factor f. <code, q> / f estimates a cosine without bias, within sqrt(1 - f^2) / f *
 EPSILON / sqrt(d - 1) at the confidence of EPSILON standard deviations. Pairs whose upper bound is below the threshold
 are rejected by their codes alone; all others are recomputed exactly in double precision.
 
@@ -38,7 +38,7 @@ class Cells:
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         self.rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        x = unit(sample)
         c = x[rng.permutation(len(x))[: max(1, min(cells, len(x)))]]
         for _ in range(rounds if len(c) > 1 else 0):
             home = (x @ c.T).argmax(axis=1)
@@ -85,11 +85,13 @@ def estimate(codes: np.ndarray, factor: np.ndarray, turned: np.ndarray, epsilon:
     return found, np.sqrt(np.maximum(0, 1 - factor**2)) / factor * epsilon / math.sqrt(max(1, d - 1)) + 1e-5
 
 
-def tile_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i of a, j of b) with at least that cosine; i < j where a and b are the same."""
-    ua, ub = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
-    codes, factor, _ = encode(ub, rotation)
-    found, half = estimate(codes, factor, ua @ rotation)
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def tile_pairs(a: np.ndarray, b: np.ndarray, codes: np.ndarray, factor: np.ndarray, rotation: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i of a, j of b) with at least that cosine, b having these codes and factors; i < j where a and b are the same."""
+    found, half = estimate(codes, factor, unit(a) @ rotation)
     maybe = found + half[None, :].astype(np.float32) >= cosine
     if same:
         maybe = np.triu(maybe, 1)
@@ -116,24 +118,23 @@ def _blocks(kind: str, rows: int):
     """Rows sorted by cell, packed to one row a block."""
 
     def run(batches):
-        cell, ids, copies, xs, number = None, [], [], [], 0
+        cell, ids, copies, xs, codes, factors, number = None, [], [], [], [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([number], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(xs) if len({*map(len, xs)}) == 1 else b"".join(_unpack(x, cell[0]).tobytes() for x in xs)], pa.binary())],
-                names=["dims", "cell", f"{kind}_block", f"{kind}_ids", f"{kind}_copies", f"{kind}_x"],
+                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([number], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(xs) if len({*map(len, xs)}) == 1 else b"".join(_unpack(x, cell[0]).tobytes() for x in xs)], pa.binary()), pa.array([b"".join(codes)], pa.binary()), pa.array([np.array(factors).tobytes()], pa.binary())],
+                names=["dims", "cell", *(f"{kind}_{c}" for c in ("block", "ids", "copies", "x", "code", "factor"))],
             )
 
         for b in batches:
-            for d, c, i, n, x in zip(*(b.column(k).to_pylist() for k in ("dims", "cell", "class", "copies", "x"))):
+            for d, c, i, n, x, code, factor in zip(*(b.column(k).to_pylist() for k in ("dims", "cell", "class", "copies", "x", "code", "factor"))):
                 if ids and ((d, c) != cell or len(ids) == rows):
                     yield flush()
                     number = number + 1 if (d, c) == cell else 0
-                    ids, copies, xs = [], [], []
+                    ids, copies, xs, codes, factors = [], [], [], [], []
                 cell = d, c
-                ids.append(i)
-                copies.append(n)
-                xs.append(x)
+                for into, value in zip((ids, copies, xs, codes, factors), (i, n, x, code, factor)):
+                    into.append(value)
         if ids:
             yield flush()
 
@@ -141,7 +142,7 @@ def _blocks(kind: str, rows: int):
 
 
 def _block_schema(kind: str) -> str:
-    return f"dims int, cell int, {kind}_block int, {kind}_ids binary, {kind}_copies binary, {kind}_x binary"
+    return f"dims int, cell int, {kind}_block int, {kind}_ids binary, {kind}_copies binary, {kind}_x binary, {kind}_code binary, {kind}_factor binary"
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 1000, most_cells: int = 4096, sample_rows: int = 20_000, block_rows: int = 1024) -> DataFrame:
@@ -176,30 +177,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 10
             for d in np.unique(lengths):
                 part = b.filter(pa.array(lengths == d))
                 x = scaled(part.column("e").flatten().to_numpy().reshape(-1, d))
-                home, (row, cell) = shared.value[int(d)].place(x / np.linalg.norm(x, axis=1, keepdims=True), cosine)
+                model = shared.value[int(d)]
+                home, (row, cell) = model.place(unit(x), cosine)
+                codes, factor, _ = encode(unit(x), model.rotation)  # once, however many cells it asks
                 own, copies = part.column("class").to_numpy(), part.column("copies").to_numpy()
                 rows, cells = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
                 for a in range(0, len(rows), 20_000):
                     r = rows[a : a + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(r), d), pa.int32()), pa.array(cells[a : a + 20_000], pa.int32()), pa.array(np.arange(a, a + len(r)) < len(x)), pa.array(own[r]), pa.array(copies[r]), pa.array([_pack(v) for v in x[r]], pa.binary())],
-                        names=["dims", "cell", "home", "class", "copies", "x"],
+                        [pa.array(np.full(len(r), d), pa.int32()), pa.array(cells[a : a + 20_000], pa.int32()), pa.array(np.arange(a, a + len(r)) < len(x)), pa.array(own[r]), pa.array(copies[r]), pa.array([_pack(v) for v in x[r]], pa.binary()), pa.array([v.tobytes() for v in codes[r]], pa.binary()), pa.array(factor[r])],
+                        names=["dims", "cell", "home", "class", "copies", "x", "code", "factor"],
                     )
 
-    placed = classes.select("class", "copies", "e").mapInArrow(place, "dims int, cell int, home boolean, class long, copies long, x binary")
+    placed = classes.select("class", "copies", "e").mapInArrow(place, "dims int, cell int, home boolean, class long, copies long, x binary, code binary, factor double")
     placed = checkpoint(placed)
     pack = lambda df, kind: checkpoint(df.drop("home").repartition("dims", "cell").sortWithinPartitions("dims", "cell", "class").mapInArrow(_blocks(kind, block_rows), _block_schema(kind)))
     homes, asking = pack(placed.where("home"), "a"), pack(placed.where("NOT home"), "b")
-    again = homes.select("dims", "cell", *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("block", "ids", "copies", "x")])
-    columns = ["dims", "a_ids", "a_copies", "a_x", "b_ids", "b_copies", "b_x"]
+    again = homes.select("dims", "cell", *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("block", "ids", "copies", "x", "code", "factor")])
+    columns = ["dims", "a_ids", "a_copies", "a_x", "b_ids", "b_copies", "b_x", "b_code", "b_factor"]
     inside = homes.join(again, ["dims", "cell"]).where("a_block <= b_block").select(*columns, (F.col("a_block") == F.col("b_block")).alias("same"))
     across = homes.join(asking, ["dims", "cell"]).select(*columns, F.lit(False).alias("same"))
 
     def link(batches):
         for batch in batches:
-            for d, ai, ac, ax, bi, bc, bx, same in zip(*(batch.column(c).to_pylist() for c in (*columns, "same"))):
+            for d, ai, ac, ax, bi, bc, bx, code, factor, same in zip(*(batch.column(c).to_pylist() for c in (*columns, "same"))):
                 a, b = (_unpack(x, d * (len(i) // 8)).reshape(-1, d) for x, i in ((ax, ai), (bx, bi)))
-                i, j = tile_pairs(a, b, shared.value[d].rotation, cosine, same)
+                codes = np.frombuffer(code, np.uint8).reshape(len(b), -1)
+                i, j = tile_pairs(a, b, codes, np.frombuffer(factor), shared.value[d].rotation, cosine, same)
                 if not len(i):
                     continue
                 ids = np.concatenate([np.frombuffer(ai, np.int64), np.frombuffer(bi, np.int64)])
