@@ -7,6 +7,7 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import cigar as C
 from ..functions import flags, regions, sequences
@@ -68,11 +69,11 @@ def make_pairs(reads: DataFrame, alignments: DataFrame | None = None) -> DataFra
 
 
 def _color(batches):
-    """(ordinal, level) of reads that come by reference, island and start."""
+    """Reads that come by reference, island and start, as `_read`, with their level."""
     island, free, busy, used = None, [], [], 0
     for b in batches:
         out = []
-        for r, i, start, end in zip(*(b.column(k).to_pylist() for k in ("rname", "island", "start", "end"))):
+        for r, i, start, end in zip(*(b.column(k).to_pylist() for k in ("chr", "island", "start", "end"))):
             if (r, i) != island:
                 island, free, busy, used = (r, i), [], [], 0
             while busy and busy[0][0] < start:
@@ -83,7 +84,7 @@ def _color(batches):
                 level, used = used, used + 1
             heapq.heappush(busy, (end, level))
             out.append(level)
-        yield pa.RecordBatch.from_arrays([b.column("ordinal"), pa.array(out, pa.int32())], names=["ordinal", "level"])
+        yield pa.RecordBatch.from_arrays([b.column("_read"), pa.array(out, pa.int32())], names=["_read", "level"])
 
 
 def add_levels(alignments: DataFrame) -> DataFrame:
@@ -93,15 +94,16 @@ def add_levels(alignments: DataFrame) -> DataFrame:
     """
     from .intervals import islands
 
-    a = alignments.withColumn("chr", F.col("rname")).withColumn("start", F.col("pos")).withColumn("end", C.end(F.col("pos"), F.col("cigar")))
+    placed = alignments.where(F.col("pos") > 0)
+    a = placed.select(F.struct(*alignments.columns).alias("_read"), F.col("rname").alias("chr"), F.col("pos").alias("start"), C.end(F.col("pos"), F.col("cigar")).alias("end"), "ordinal")
     # touching reads aren't overlapping: an island ends where the next read begins after all ends
-    grouped = islands(a.where(F.col("pos") > 0), gap=-1).select("rname", "island", "start", "end", "ordinal")
+    grouped = islands(a, gap=-1)
 
     # many small islands share a task, and stream through it in order; a large one is sorted with spilling
-    streamed = grouped.repartition("rname", F.floor(F.col("island") / 64)).sortWithinPartitions("rname", "island", "start", "ordinal")
-    ordinal = alignments.schema["ordinal"].dataType.simpleString()
-    levels = streamed.mapInArrow(_color, f"ordinal {ordinal}, level int")
-    return alignments.join(levels, "ordinal", "left")
+    streamed = grouped.repartition("chr", F.floor(F.col("island") / 64)).sortWithinPartitions("chr", "island", "start", "ordinal")
+    schema = StructType([StructField("_read", alignments.schema), StructField("level", IntegerType())])
+    levels = streamed.select("_read", "chr", "island", "start", "end").mapInArrow(_color, schema).select("_read.*", "level")
+    return levels.unionByName(alignments.where(~F.coalesce(F.col("pos") > 0, F.lit(False))).withColumn("level", F.lit(None).cast("int")))
 
 
 def sort_by_position(alignments: DataFrame, refs: DataFrame) -> DataFrame:

@@ -270,7 +270,13 @@ MATES = f"SELECT a.ordinal AS a, b.ordinal AS b FROM {L} a JOIN {L} b ON a.qname
 query("mate_lookup", MATES)(lambda s, d: A.mates(derive.alignments(s, d), derive.alignments(s, d)).select(c("ordinal").alias("a"), c("mate_ordinal").alias("b")))
 query("make_pairs", f"SELECT qname, min(ordinal) AS first, max(ordinal) AS second FROM {L} WHERE flag & 1 <> 0 AND flag & 2304 = 0 GROUP BY qname HAVING count(*) = 2")(lambda s, d: A.make_pairs(derive.alignments(s, d)))
 query("make_pairs_fetched", f"WITH r AS (SELECT * FROM {L} WHERE flag = 99), n AS (SELECT qname, count(*) AS n, min(ordinal) AS a, max(ordinal) AS b FROM r GROUP BY qname) SELECT qname, a AS first, b AS second FROM n WHERE n = 2 UNION ALL SELECT r.qname, least(r.ordinal, b.ordinal), greatest(r.ordinal, b.ordinal) FROM r JOIN n ON n.qname = r.qname AND n.n = 1 JOIN {L} b ON b.qname = r.qname AND b.flag = 147")(lambda s, d: A.make_pairs(derive.alignments(s, d).where("flag = 99"), derive.alignments(s, d)))
-query("level")(lambda s, d: A.add_levels(derive.alignments(s, d)).select("ordinal", "level"))
+# read by read: the first row whose last read ends before this one begins
+LEVELS = f"""WITH RECURSIVE r AS (SELECT ordinal, rname, pos, last, row_number() OVER (PARTITION BY rname ORDER BY pos, ordinal) AS k FROM {ENDS} WHERE pos > 0),
+s AS (SELECT rname, 0::BIGINT AS k, []::BIGINT[] AS ends, NULL::BIGINT AS ordinal, NULL::INT AS level FROM (SELECT DISTINCT rname FROM r) UNION ALL
+  SELECT rname, k, CASE WHEN j = 0 THEN list_append(ends, last::BIGINT) ELSE list_concat(list_concat(ends[1 : j - 1], [last::BIGINT]), ends[j + 1 :]) END, ordinal, (CASE WHEN j = 0 THEN len(ends) ELSE j - 1 END)::INT
+  FROM (SELECT r.*, s.ends, coalesce(list_position(list_transform(s.ends, lambda e: e < r.pos), true), 0) AS j FROM s JOIN r ON r.rname = s.rname AND r.k = s.k + 1))
+SELECT ordinal, level FROM s WHERE k > 0 UNION ALL SELECT ordinal, NULL FROM {L} WHERE pos <= 0"""
+query("level", LEVELS)(lambda s, d: A.add_levels(derive.alignments(s, d)).select("ordinal", "level"))
 query("level_max", f"SELECT rname, max(n)::INT AS levels FROM (SELECT rname, sum(d) OVER (PARTITION BY rname ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM {STEPS}) GROUP BY rname")(lambda s, d: A.add_levels(derive.alignments(s, d)).where("level IS NOT NULL").groupBy("rname").agg((F.max("level") + 1).alias("levels")))
 query("normalize_refs", f"SELECT ordinal, CASE WHEN rname = '*' THEN '*' ELSE rname END AS rname, rnext FROM {L}")(lambda s, d: A.normalize_references(derive.alignments(s, d).withColumn("rname", F.regexp_replace("rname", "^chr", ""))).select("ordinal", "rname", "rnext"))
 query(
