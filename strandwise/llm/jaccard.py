@@ -1,13 +1,15 @@
 """Similarity join of documents by the Jaccard index of their word n-grams, as a T-occurrence search.
 
 1. Each document becomes its set of n-gram hashes; documents with equal sets form a class, and only classes go on.
-2. N-grams are ordered from rare to frequent by a count sketch of fixed size over all documents. Two sets that reach the
-   threshold share an n-gram among the first `n - ceil(t n) + 1` of each (prefix filter), and their sizes are in one
-   band or two adjoining ones, so the connected components of "shares a prefix n-gram and a band" hold every link.
+2. Sets of like size (of one band or two adjoining ones) are cut into more parts, by ranges of hashes, than linked sets
+   can differ in n-grams: two that reach the threshold agree in a whole part (pigeonhole). So the connected components of
+   "has the same part and band" hold every link. A part has some 8 n-grams at a threshold of 0.9, so texts that share
+   single n-grams by chance, of which a large table is full, don't meet; no n-gram is counted.
 3. A component is one tile, or, if large, tiles of pairs of blocks with like set sizes: a block holds about
    `block_grams` n-grams, whatever the component's size. Nothing is ever expanded into pairs by a join.
-4. In a tile every set searches the inverted lists: DivideSkip merges its short lists with a heap, keeps ids that occur
-   often enough, and probes the long ones by binary search.
+4. In a tile sets are compared as bits of the n-grams that several of them have, or, where that takes long, every set
+   searches the inverted lists: DivideSkip merges its short lists with a heap, keeps ids that occur often enough, and
+   probes the long ones by binary search.
 
 Links are then counted by class, and components of links found over a spanning forest of each tile.
 
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from ._common import U64, checkpoint, components, gram_hashes, mix, pieces, release, row_key, word_hashes
 
-SKETCH_BITS = 22
 FILTER_BITS = 26
-_SKETCH_PARTS = 64
+#: words of bits compared in a tile; one that takes more is searched by DivideSkip
+MOST_WORDS = 1 << 28
+_FILTER_PARTS = 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,39 +67,57 @@ def class_keys(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all n-grams in 2**SKETCH_BITS places: a fixed size, for any input."""
+def parts(band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts that sets of that band or the one below are cut into, how many more these are than the n-grams in which two linked ones differ)."""
+    width = _width(percent)
+    low, high = np.exp((band - 1) * width), np.floor(np.exp((band + 1) * width)) + 1
+    differ = (2 * high * (100 - percent) // (100 + percent)).astype(np.int64)
+    # spare parts are as many as are empty in most sets
+    many = differ + 1
+    for _ in range(20):
+        many = np.minimum(differ + 2 + np.ceil(2 * many * np.exp(-low / many)).astype(np.int64), 2 * differ + 4)
+    return np.where(differ > 0, many, 0), many - differ
 
-    def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in pieces(batches):
-            g, _ = shingle_sets(batch.column("text"), n)
-            counts += np.bincount((g >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
-        if counts.any():
-            rows = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(counts, _SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
-
-    width = (1 << SKETCH_BITS) // _SKETCH_PARTS
-
-    def add(batches):
-        # rows come sorted by part; one part's sum is held
-        part, total = None, None
-        for b in batches:
-            for p, raw in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
-                if p != part:
-                    if part is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
-                    part, total = p, np.zeros(width, np.int64)
-                total += np.frombuffer(pa.decompress(raw, decompressed_size=4 * width, codec="zstd", asbytes=True), np.int32)
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
 
-    schema = "part int, counts binary"
-    parts = docs.select("text").mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).collect()
-    out = np.zeros((_SKETCH_PARTS, width), np.int32)
-    for r in parts:
-        out[r["part"]] = np.frombuffer(r["counts"], np.int32)
-    return out.reshape(-1)
+def part_keys(g: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, set of each): linked sets that differ have a key in common, as they agree in a part that isn't empty or both have many empty ones."""
+    size = np.diff(bounds)
+    band = np.floor(np.log(np.maximum(size, 1)) / _width(percent)).astype(np.int64)
+    sums = np.zeros(len(g) + 1, np.uint64)
+    np.cumsum(mix(g ^ U64(0x51ED270B7A4F3C19)), out=sums[1:])
+    keys, owners = [], []
+    for own in (band, band + 1):
+        many, spare = parts(own, percent)
+        many[size == 0] = 0
+        doc = np.repeat(np.arange(len(size)), np.where(many > 0, size, 0))
+        at = np.flatnonzero(np.repeat(many > 0, size))
+        if not len(at):
+            continue
+        # parts are ranges of hashes, so those of a sorted set are runs
+        part = (g[at] >> U64(32)) * many[doc].astype(np.uint64) >> U64(32)
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
+        total = sums[np.append(at[head[1:] - 1], at[-1]) + 1] - sums[at[head]]
+        doc, part = doc[head], part[head]
+        empty = many - np.bincount(doc, minlength=len(size))
+        bare = np.flatnonzero((many > 0) & (empty >= spare))
+        if len(bare):
+            start = np.zeros(len(size) + 1, np.int64)
+            start[bare + 1] = many[bare]
+            start = np.cumsum(start)
+            lacks = np.ones(start[-1], bool)
+            mine = np.isin(doc, bare)
+            lacks[start[doc[mine]] + part[mine].astype(np.int64)] = False
+            lacks = np.flatnonzero(lacks)
+            of = np.searchsorted(start, lacks, "right") - 1
+            doc, part, total = np.concatenate([doc, of]), np.concatenate([part, (lacks - start[of]).astype(np.uint64)]), np.concatenate([total, np.zeros(len(of), np.uint64)])
+        keys.append(mix(total + mix(part + (own[doc].astype(np.uint64) << U64(40)))))
+        owners.append(doc)
+    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _width(percent: int) -> float:
+    """Logarithm of the ratio of set sizes that a band spans: a little over that of linked sets."""
+    return float(np.log(100 / percent) * 1.001) if percent < 100 else 1.0
 
 
 def _class_filter(classes: DataFrame) -> bytes:
@@ -107,7 +128,7 @@ def _class_filter(classes: DataFrame) -> bytes:
         for b in batches:
             slot = (b.column("class").to_numpy().view(np.uint64) >> U64(64 - FILTER_BITS)).astype(np.int64)
             np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-        for part, x in enumerate(np.split(bits, _SKETCH_PARTS)):
+        for part, x in enumerate(np.split(bits, _FILTER_PARTS)):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "bits"])
 
@@ -124,7 +145,7 @@ def _class_filter(classes: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
 
     schema = "part int, bits binary"
-    out = np.zeros((_SKETCH_PARTS, (1 << FILTER_BITS - 3) // _SKETCH_PARTS), np.uint8)
+    out = np.zeros((_FILTER_PARTS, (1 << FILTER_BITS - 3) // _FILTER_PARTS), np.uint8)
     for r in classes.select("class").mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema).collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
@@ -142,6 +163,19 @@ class InvertedLists:
         self.gram, self.start = np.unique(gram, return_index=True)
         self.end = np.append(self.start[1:], len(gram))
 
+    def bits(self, most_words: int) -> np.ndarray | None:
+        """The n-grams that several sets have, as bits by set; None if comparing all pairs of sets takes more words than that."""
+        shared = np.flatnonzero(self.end - self.start > 1)
+        words = max(1, -(-len(shared) // 64))
+        if len(self.sets) ** 2 // 2 * words > most_words:
+            return None
+        out = np.zeros((len(self.sets), words), np.uint64)
+        count = (self.end - self.start)[shared]
+        at = np.repeat(self.start[shared], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        number = np.repeat(np.arange(len(shared)), count)
+        np.bitwise_or.at(out, (self.owner[at], number >> 6), U64(1) << (number & 63).astype(np.uint64))
+        return out
+
     def search(self, query: np.ndarray, t: int, below: int) -> list[tuple[int, int]]:
         """(set, overlap) of the sets numbered under `below` that share at least t n-grams with the query, by DivideSkip."""
         at = np.searchsorted(self.gram, query)
@@ -186,6 +220,8 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, code: np.ndarray, sets: list[
     sets = [sets[i] for i in order]
     ids, sizes, code = ids[order], sizes[order], code[order]
     lists, parent, links = InvertedLists(sets), list(range(len(ids))), {}
+    length = np.array([len(s) for s in sets])
+    bits = lists.bits(MOST_WORDS)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -197,7 +233,15 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, code: np.ndarray, sets: list[
         if not len(s):
             continue
         # the larger set of a pair asks: overlap >= t * union >= t * its own size
-        for j, overlap in lists.search(s, -(-percent * len(s) // 100), i):
+        least = -(-percent * len(s) // 100)
+        if bits is None:
+            found = lists.search(s, least, i)
+        else:
+            a = int(np.searchsorted(length, least))
+            overlaps = np.bitwise_count(bits[a:i] & bits[i]).sum(axis=1, dtype=np.int64)
+            at = np.flatnonzero(overlaps >= least)
+            found = zip((at + a).tolist(), overlaps[at].tolist())
+        for j, overlap in found:
             if (not across or code[i] != code[j]) and 100 * overlap >= percent * (len(s) + len(sets[j]) - overlap):
                 links[i] = links.get(i, 0) + int(sizes[j])
                 links[j] = links.get(j, 0) + int(sizes[i])
@@ -226,9 +270,6 @@ def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int =
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "key")
-    counts = spark.sparkContext.broadcast(sketch(docs, n))
-    release(spark)
-
     def name(batches):
         for batch in pieces(batches):
             g, bounds = shingle_sets(batch.column("text"), n)
@@ -237,22 +278,13 @@ def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int =
     named = checkpoint(docs.mapInArrow(name, f"doc_id {id_type}, key string, n_shingles long, class long"))
     classes = checkpoint(named.where("n_shingles > 0").groupBy("class", "n_shingles").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
 
-    width = float(np.log(100 / percent) * 1.001) if percent < 100 else 1.0
+    width = _width(percent)
 
-    def prefix(batches):
-        rank = counts.value
+    def cut(batches):
         for batch in pieces(batches):
             g, bounds = shingle_sets(batch.column("text"), n)
-            size = np.diff(bounds)
-            doc = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((g, rank[(g >> U64(64 - SKETCH_BITS)).astype(np.int64)], doc))
-            place = np.arange(len(g)) - np.repeat(bounds[:-1], size)
-            take = place < np.repeat(size + 1 - -(-percent * size // 100), size)
-            key = np.repeat(class_keys(g, bounds), size)
-            # an n-gram counts with the band of the set's size and the next, so only sets of like size meet
-            own, gram, band = key[take], g[order][take], np.floor(np.log(np.maximum(size, 1)) / width).astype(np.uint64)[doc[take]]
-            keys = np.concatenate([mix(gram + band * U64(0x9E3779B97F4A7C15)), mix(gram + (band + U64(1)) * U64(0x9E3779B97F4A7C15))]).view(np.int64)
-            own = np.concatenate([own, own])
+            keys, doc = part_keys(g, bounds, percent)
+            keys, own = keys.view(np.int64), class_keys(g, bounds)[doc]
             by = np.lexsort((own, keys))
             keys, own = keys[by], own[by]
             new = np.ones(len(keys), bool)
@@ -274,7 +306,7 @@ def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int =
             if pair.size:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    first = docs.select("text").mapInArrow(prefix, "key long, class long")
+    first = docs.select("text").mapInArrow(cut, "key long, class long")
     edges = first.repartition("key").sortWithinPartitions("key", "class").mapInArrow(chain, "a long, b long")
     near = components(edges)
     release(spark)

@@ -143,3 +143,66 @@ def test_divide_skip_keeps_every_member():
         for i, s in enumerate(sets):
             want = [(j, len(np.intersect1d(s, sets[j]))) for j in range(i) if len(np.intersect1d(s, sets[j])) >= t]
             assert lists.search(s, t, i) == want
+
+
+def test_parts_are_shared_by_all_linked_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for percent in (60, 90, 97):
+        for n in (2, 9, 10, 11, 19, 20, 60, 400, 3000):
+            for _ in range(30):
+                base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                less = int(rng.integers(0, 1 + n * (100 - percent) // 100))
+                other = np.delete(base, rng.integers(0, len(base), less))
+                more = n * (100 - percent) // 200
+                other = np.unique(np.concatenate([other, rng.integers(0, 2**64, more, dtype=np.uint64)]))
+                both = len(np.intersect1d(base, other))
+                if len(other) and 100 * both >= percent * (len(base) + len(other) - both) and both < max(len(base), len(other)):
+                    keys, owner = jaccard.part_keys(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), percent)
+                    assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+
+
+def test_few_sets_of_few_parts():
+    """Sets with hashes in one range have nearly all parts empty, and agree in those alone."""
+    import numpy as np
+
+    a = np.arange(100, 200, dtype=np.uint64)
+    b = np.concatenate([a[:96] + np.uint64(1 << 63), a[96:]])
+    c = np.concatenate([a[:96] + np.uint64(1 << 63), a[:1] + np.uint64(1 << 62)])
+    for x, y in ((b, np.delete(b, 3)), (c, np.delete(c, 3))):
+        x, y = np.sort(x), np.sort(y)
+        keys, owner = jaccard.part_keys(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), 90)
+        assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+
+
+def test_texts_that_share_lines_do_not_chain(spark, monkeypatch):
+    """Nearly every n-gram occurs in several texts, but no two are alike: no component may grow with the table."""
+    rng = random.Random(9)
+    lines = [" ".join(f"l{i}w{j}" for j in range(60)) for i in range(300)]
+    rows = [(i, " ".join(rng.sample(lines, 6))) for i in range(200)]
+    sizes, whole = [], jaccard.components
+
+    def watch(edges):
+        out = whole(edges)
+        sizes.append(max((r["count"] for r in out.groupBy("component").count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(jaccard, "components", watch)
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_similar == 0 for r in got)
+    assert sizes[0] < 10
+
+
+def test_bits_count_as_divide_skip(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = np.arange(1000, 1200)
+    sets = [np.unique(np.concatenate([base[rng.random(200) < 0.97], rng.integers(0, 900, 3)])).astype(np.uint64) for _ in range(90)]
+    args = np.arange(90) + 7, rng.integers(1, 4, 90), rng.integers(0, 2, 90), sets, 90
+    for across in (False, True):
+        monkeypatch.setattr(jaccard, "MOST_WORDS", 1 << 28)
+        found = sorted(jaccard.tile_links(*args, across))
+        monkeypatch.setattr(jaccard, "MOST_WORDS", 0)
+        assert found and found == sorted(jaccard.tile_links(*args, across))
