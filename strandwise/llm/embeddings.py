@@ -8,8 +8,10 @@ are rejected by their codes alone; all others are recomputed exactly in double p
 Pairs come from cells (centroids fitted on a bounded sample). A vector is indexed in its nearest cell and asks those
 cells that can be nearest to a vector within the threshold's angle: moving by that angle in a direction u, the lead
 s_home - s_cell of its own cell must fall by the projection of u on the difference of the centroids, which is at most
-that difference's length (Cauchy-Schwarz), whatever the vectors are. Cells are split into blocks of fixed size, so a crowded cell is many small tiles; equal vectors are
-one representative with a count. No pairs leave a tile: it returns a count and a group for each vector.
+that difference's length (Cauchy-Schwarz), whatever the vectors are. Both vectors of a pair must ask the other's cell.
+Cells are blocks of fixed size, files in the shared folder that every vector is in once: a task reads those that its
+block asks, so nothing is copied by cell. A crowded cell is many small tiles; equal vectors are one representative with a
+count. No pairs leave a tile: it returns a count and a group for each vector.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without an id, link with
 nothing and are kept; vectors of different lengths never link; repeated rows and repeated ids are vectors of their own;
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, components, release
+from ._common import Folder, checkpoint, components, release
 
 EPSILON = 5.0
 
@@ -49,21 +51,18 @@ class Cells:
         self.centroids = c
         self.gram = c @ c.T
 
-    def place(self, x: np.ndarray, cosine: float):
-        """(home cell of each unit vector, (row, cell) of the other cells that it asks)."""
-        s = x @ self.centroids.T
-        rows = np.arange(len(x))
-        home = s.argmax(axis=1)
-        lead = s[rows, home][:, None] - s
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Home cell of each unit vector."""
+        return (x @ self.centroids.T).argmax(axis=1)
+
+    def asks(self, x: np.ndarray, home: int, cells: np.ndarray, cosine: float) -> np.ndarray:
+        """Whether each unit vector of a home cell asks each of the cells."""
+        lead = (x @ self.centroids[home])[:, None] - x @ self.centroids[cells].T
         # squared length of centroid - home centroid, without its part along x
-        apart = np.maximum(0, 2 - 2 * self.gram[home] - lead**2)
+        apart = np.maximum(0, 2 - 2 * self.gram[home, cells] - lead**2)
         slope = math.sqrt(1 - cosine**2) / cosine if cosine > 0 else math.inf
         # the allowance covers the rounding of apart, whose root is taken
-        asks = lead <= slope * np.sqrt(apart) + 1e-7
-        asks[rows, home] = False
-        # a pair meets once, in the later of the two homes
-        asks &= np.arange(len(self.centroids))[None, :] > home[:, None]
-        return home, np.nonzero(asks)
+        return lead <= slope * np.sqrt(apart) + 1e-7
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -105,7 +104,7 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, codes: np.ndarray, factor: np.ndarr
 
 
 def _pack(v: np.ndarray) -> bytes:
-    """A vector's bytes, as singles if it is made of such."""
+    """Bytes of a vector, or of several, as singles if all is made of such."""
     small = v.astype(np.float32)
     return small.tobytes() if (small == v).all() else v.tobytes()
 
@@ -114,110 +113,155 @@ def _unpack(raw: bytes, d: int) -> np.ndarray:
     return np.frombuffer(raw, np.float32).astype(np.float64) if len(raw) == 4 * d else np.frombuffer(raw)
 
 
-def _blocks(kind: str, rows: int):
-    """Rows sorted by cell, packed to one row a block."""
+class Block:
+    """Classes of one cell: a file."""
+
+    def __init__(self, ids, copies, x, codes, factor):
+        self.ids, self.copies, self.x, self.codes, self.factor = ids, copies, x, codes, factor
+
+    def to_bytes(self) -> bytes:
+        return b"".join([len(self.ids).to_bytes(8, "little"), self.ids.tobytes(), self.copies.tobytes(), self.factor.tobytes(), self.codes.tobytes(), _pack(self.x)])
+
+    def part(self, rows: np.ndarray) -> Block:
+        return Block(self.ids[rows], self.copies[rows], self.x[rows], self.codes[rows], self.factor[rows])
+
+    @classmethod
+    def from_bytes(cls, raw: bytes, d: int) -> Block:
+        n = int.from_bytes(raw[:8], "little")
+        code = 8 + 24 * n
+        end = code + n * -(-d // 8)
+        ids, copies = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
+        return cls(ids, copies, _unpack(raw[end:], n * d).reshape(n, d), np.frombuffer(raw, np.uint8, end - code, code).reshape(n, -1), np.frombuffer(raw, np.float64, n, 8 + 16 * n))
+
+
+def _write_blocks(folder: Folder, rows: int):
+    """Rows sorted by cell, written as blocks; gives (dims, cell, block)."""
 
     def run(batches):
-        cell, ids, copies, xs, codes, factors, number = None, [], [], [], [], [], 0
+        cell, held, number = None, [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([number], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(xs) if len({*map(len, xs)}) == 1 else b"".join(_unpack(x, cell[0]).tobytes() for x in xs)], pa.binary()), pa.array([b"".join(codes)], pa.binary()), pa.array([np.array(factors).tobytes()], pa.binary())],
-                names=["dims", "cell", *(f"{kind}_{c}" for c in ("block", "ids", "copies", "x", "code", "factor"))],
-            )
+            ids, copies, x, code, factor = zip(*held)
+            block = Block(np.array(ids, np.int64), np.array(copies, np.int64), np.stack([_unpack(v, cell[0]) for v in x]), np.frombuffer(b"".join(code), np.uint8), np.array(factor))
+            folder.write("-".join(map(str, (*cell, number))), block.to_bytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (*cell, number)], names=["dims", "cell", "block"])
 
         for b in batches:
-            for d, c, i, n, x, code, factor in zip(*(b.column(k).to_pylist() for k in ("dims", "cell", "class", "copies", "x", "code", "factor"))):
-                if ids and ((d, c) != cell or len(ids) == rows):
+            for d, c, *row in zip(*(b.column(k).to_pylist() for k in ("dims", "cell", "class", "copies", "x", "code", "factor"))):
+                if held and ((d, c) != cell or len(held) == rows):
                     yield flush()
-                    number = number + 1 if (d, c) == cell else 0
-                    ids, copies, xs, codes, factors = [], [], [], [], []
+                    number, held = number + 1 if (d, c) == cell else 0, []
                 cell = d, c
-                for into, value in zip((ids, copies, xs, codes, factors), (i, n, x, code, factor)):
-                    into.append(value)
-        if ids:
+                held.append(row)
+        if held:
             yield flush()
 
     return run
 
 
-def _block_schema(kind: str) -> str:
-    return f"dims int, cell int, {kind}_block int, {kind}_ids binary, {kind}_copies binary, {kind}_x binary, {kind}_code binary, {kind}_factor binary"
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 1000, most_cells: int = 4096, sample_rows: int = 20_000, block_rows: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     good = F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("e", lambda v: v != 0)
     vectors = vectors.withColumn("good", F.coalesce(good, F.lit(False)))
-    # classes are equal vectors, named by a hash under which no two classes are alike
+
+    def pack(batches):
+        for b in batches:
+            lengths = pa.compute.list_value_length(b.column("e")).to_numpy()
+            for d in np.unique(lengths):
+                part = b.filter(pa.array(lengths == d))
+                x = scaled(part.column("e").flatten().to_numpy().reshape(-1, d))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("vec_id", "class", "check")), pa.array(np.full(len(x), d), pa.int32()), pa.array([_pack(v) for v in x], pa.binary())], names=["vec_id", "class", "check", "dims", "x"])
+
+    id_type = vectors.schema["vec_id"].dataType.simpleString()
+    # classes are equal vectors, named by a hash under which no two classes are alike, as another hash tells; vectors travel once, as singles if they can
     for seed in range(8):
-        named = checkpoint(vectors.select("vec_id", F.when(F.col("good"), F.xxhash64(F.lit(seed), "e")).alias("class"), F.when(F.col("good"), F.col("e")).alias("e")))
-        classes = checkpoint(named.where("class IS NOT NULL").groupBy("class", "e").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-        if classes.count() == classes.select("class").distinct().count():
+        hashed = vectors.where("good").select("vec_id", F.xxhash64(F.lit(seed), "e").alias("class"), F.xxhash64(F.lit(seed + 100), "e").alias("check"), "e")
+        packed = hashed.mapInArrow(pack, f"vec_id {id_type}, class long, check long, dims int, x binary")
+        classes = checkpoint(packed.groupBy("class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("dims").alias("dims"), F.first("x").alias("x"), (F.min("check") < F.max("check")).alias("alike")))
+        release(spark)
+        if not classes.where("alike").count():
             break
     else:
         raise RuntimeError("hashes of vectors collide")
-    sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("e").alias("d")).count().collect()}
+    named = vectors.select("vec_id", F.when(F.col("good"), F.xxhash64(F.lit(seed), "e")).alias("class"))
+    sizes = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().collect()}
     total = sum(sizes.values())
     if not total:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     share = min(1.0, sample_rows / total)
     drawn = classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) / 1_000_003.0 < share) if share < 1 else classes
     sample: dict[int, list] = {}
-    for r in sorted(drawn.select("class", "e").limit(2 * sample_rows).collect()):
-        sample.setdefault(len(r["e"]), []).append(r["e"])
-    models = {d: Cells(scaled(np.array(sample.get(d) or np.eye(d)[:1])), min(most_cells, math.ceil(n / cell_rows))) for d, n in sizes.items()}
+    for r in sorted(drawn.select("class", "dims", "x").limit(2 * sample_rows).collect()):
+        sample.setdefault(r["dims"], []).append(_unpack(r["x"], r["dims"]))
+    models = {d: Cells(np.array(sample.get(d) or np.eye(d)[:1]), min(most_cells, math.ceil(n / cell_rows))) for d, n in sizes.items()}
     shared = spark.sparkContext.broadcast(models)
 
     def place(batches):
         for b in batches:
-            lengths = pa.compute.list_value_length(b.column("e")).to_numpy()
-            for d in np.unique(lengths):
-                part = b.filter(pa.array(lengths == d))
-                x = scaled(part.column("e").flatten().to_numpy().reshape(-1, d))
-                model = shared.value[int(d)]
-                home, (row, cell) = model.place(unit(x), cosine)
-                codes, factor, _ = encode(unit(x), model.rotation)  # once, however many cells it asks
-                own, copies = part.column("class").to_numpy(), part.column("copies").to_numpy()
-                rows, cells = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
-                for a in range(0, len(rows), 20_000):
-                    r = rows[a : a + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(r), d), pa.int32()), pa.array(cells[a : a + 20_000], pa.int32()), pa.array(np.arange(a, a + len(r)) < len(x)), pa.array(own[r]), pa.array(copies[r]), pa.array([_pack(v) for v in x[r]], pa.binary()), pa.array([v.tobytes() for v in codes[r]], pa.binary()), pa.array(factor[r])],
-                        names=["dims", "cell", "home", "class", "copies", "x", "code", "factor"],
-                    )
-
-    placed = classes.select("class", "copies", "e").mapInArrow(place, "dims int, cell int, home boolean, class long, copies long, x binary, code binary, factor double")
-    placed = checkpoint(placed)
-    pack = lambda df, kind: checkpoint(df.drop("home").repartition("dims", "cell").sortWithinPartitions("dims", "cell", "class").mapInArrow(_blocks(kind, block_rows), _block_schema(kind)))
-    homes, asking = pack(placed.where("home"), "a"), pack(placed.where("NOT home"), "b")
-    again = homes.select("dims", "cell", *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("block", "ids", "copies", "x", "code", "factor")])
-    columns = ["dims", "a_ids", "a_copies", "a_x", "b_ids", "b_copies", "b_x", "b_code", "b_factor"]
-    inside = homes.join(again, ["dims", "cell"]).where("a_block <= b_block").select(*columns, (F.col("a_block") == F.col("b_block")).alias("same"))
-    across = homes.join(asking, ["dims", "cell"]).select(*columns, F.lit(False).alias("same"))
-
-    def link(batches):
-        for batch in batches:
-            for d, ai, ac, ax, bi, bc, bx, code, factor, same in zip(*(batch.column(c).to_pylist() for c in (*columns, "same"))):
-                a, b = (_unpack(x, d * (len(i) // 8)).reshape(-1, d) for x, i in ((ax, ai), (bx, bi)))
-                codes = np.frombuffer(code, np.uint8).reshape(len(b), -1)
-                i, j = tile_pairs(a, b, codes, np.frombuffer(factor), shared.value[d].rotation, cosine, same)
-                if not len(i):
-                    continue
-                ids = np.concatenate([np.frombuffer(ai, np.int64), np.frombuffer(bi, np.int64)])
-                copies = np.concatenate([np.frombuffer(ac, np.int64), np.frombuffer(bc, np.int64)])
-                j = j + (0 if same else len(a))
-                links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                root = _groups(i, j, len(ids))
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(ids[root[at]])], names=["class", "links", "root"])
-
-    linked = checkpoint(inside.union(across).mapInArrow(link, "class long, links long, root long"))
+            dims = b.column("dims").to_numpy()
+            for d in np.unique(dims):
+                part = b.filter(pa.array(dims == d))
+                x, model = np.stack([_unpack(v, d) for v in part.column("x").to_pylist()]), shared.value[int(d)]
+                codes, factor, _ = encode(unit(x), model.rotation)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("dims"), pa.array(model.place(unit(x)), pa.int32()), *(part.column(k) for k in ("class", "copies", "x")), pa.array([v.tobytes() for v in codes], pa.binary()), pa.array(factor)],
+                    names=["dims", "cell", "class", "copies", "x", "code", "factor"],
+                )
+
+    folder = Folder.new(spark, "embeddings")
+    try:
+        placed = classes.select("class", "copies", "dims", "x").mapInArrow(place, "dims int, cell int, class long, copies long, x binary, code binary, factor double")
+        blocks = checkpoint(placed.repartition("dims", "cell").sortWithinPartitions("dims", "cell", "class").mapInArrow(_write_blocks(folder, block_rows), "dims int, cell int, block int"))
+        release(spark)
+        # by length of vectors, the number of blocks of each cell
+        held = {d: np.zeros(len(m.centroids), np.int64) for d, m in models.items()}
+        for r in blocks.groupBy("dims", "cell").count().collect():
+            held[r["dims"]][r["cell"]] = r["count"]
+        many = spark.sparkContext.broadcast(held)
+
+        def link(batches):
+            for batch in batches:
+                for d, home, own in zip(*(batch.column(c).to_pylist() for c in ("dims", "cell", "block"))):
+                    model, count = shared.value[d], many.value[d]
+                    read = lambda cell, block: Block.from_bytes(folder.read(f"{d}-{cell}-{block}"), d)  # noqa: B023, E731
+                    b = read(home, own)
+                    later = np.flatnonzero(count)
+                    later = later[later > home]
+                    ub = unit(b.x)
+                    asks = model.asks(ub, home, later, cosine)
+                    # a pair meets once: with blocks of the own cell up to this one, and of later cells that it asks and that ask its cell
+                    for number in range(own + 1):
+                        a = b if number == own else read(home, number)
+                        yield from found(a, b, d, number == own)
+                    for k in np.flatnonzero(asks.any(axis=0)):
+                        mine = b.part(asks[:, k])
+                        for number in range(count[later[k]]):
+                            a = read(int(later[k]), number)
+                            yield from found(a.part(model.asks(unit(a.x), later[k], np.array([home]), cosine)[:, 0]), mine, d, False)
+
+        def found(a, b, d, same):
+            if not (len(a.ids) and len(b.ids)):
+                return
+            i, j = tile_pairs(a.x, b.x, b.codes, b.factor, shared.value[d].rotation, cosine, same)
+            if not len(i):
+                return
+            ids, copies = (a.ids, a.copies) if same else (np.concatenate([a.ids, b.ids]), np.concatenate([a.copies, b.copies]))
+            j = j + (0 if same else len(a.ids))
+            links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+            root = _groups(i, j, len(ids))
+            at = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(ids[root[at]])], names=["class", "links", "root"])
+
+        # a block is a row, and a task few of them
+        tasks = max(1, min(sum(int(h.sum()) for h in held.values()), 100_000))
+        linked = checkpoint(blocks.repartition(tasks).mapInArrow(link, "class long, links long, root long"))
+    finally:
+        folder.drop()
     release(spark)
     groups = components(linked.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "class")
-    of = classes.drop("e").join(linked.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    of = classes.select("class", "copies", "least").join(linked.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     of = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component_id")
     out = named.select("vec_id", "class").join(of, "class", "left")
     own = F.coalesce("component_id", "vec_id")

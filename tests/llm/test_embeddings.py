@@ -81,3 +81,31 @@ def test_tiny_and_huge_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_vectors_are_not_copied_by_cell(spark, monkeypatch):
+    """What is written to the shared folder follows the table, however many cells a vector asks."""
+    import os
+
+    from pyspark.sql import functions as F
+    from strandwise.storage import Folder
+
+    written, whole, drop = [], embeddings.checkpoint, Folder.drop
+
+    def watch(df):
+        out = whole(df)
+        sizes = [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, kind in out.dtypes if kind == "binary"] + [F.coalesce(F.sum(8 * F.size(c)), F.lit(0)) for c, kind in out.dtypes if kind == "array<double>"]
+        written.append(sum(out.agg(*sizes).first()) if sizes else 0)
+        return out
+
+    def watch_files(folder):
+        path = folder.uri.removeprefix("file://")
+        written.append(sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path)))
+        drop(folder)
+
+    monkeypatch.setattr(embeddings, "checkpoint", watch)
+    monkeypatch.setattr(Folder, "drop", watch_files)
+    x = np.random.default_rng(4).normal(size=(1000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(df, cell_rows=50).count() == 1000
+    assert x.nbytes < sum(written) < 3 * x.nbytes
