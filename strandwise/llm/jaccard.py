@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import U64, checkpoint, components, gram_hashes, mix, pieces, release, row_key, word_hashes
 
 FILTER_BITS = 26
+#: bits of the filter that is joined to rows: 64 a row of it
+ROW_BITS = 24
 #: words of bits compared in a tile; one that takes more is searched by DivideSkip
 MOST_WORDS = 1 << 28
 _FILTER_PARTS = 64
@@ -260,9 +262,18 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that of the smallest id; rows that are equal in all columns count once."""
     hashes = row_key(docs.columns)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.concat(F.hex(hashes["a"]), F.lit("/"), F.hex(hashes["b"])).alias("key"))
-    groups = _grouped(keyed, **options).select("key", "doc_id", "group")
-    kept = groups.groupBy("group").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    return keyed.select("row", "key").dropDuplicates(["key"]).join(kept.select("key").hint("merge"), "key", "left_semi").select("row.*")
+    groups = checkpoint(_grouped(keyed, **options).select("key", "doc_id", "group"))
+    release(docs.sparkSession)
+    of = groups.groupBy("group").agg(F.count("*").alias("rows"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("kept"))
+    # rows alone in their group stay where they are: a filter of fixed size tells most of them, the others are shuffled
+    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - ROW_BITS)
+    place = {"word": F.shiftright(slot, 6), "bit": slot.bitwiseAND(63).cast("int")}
+    several = groups.join(of.where("rows > 1").select("group").hint("merge"), "group", "left_semi").select(*[c.alias(k) for k, c in place.items()])
+    bits = several.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    told = keyed.select("row", "key", *[c.alias(k) for k, c in place.items()]).join(F.broadcast(bits), "word", "left")
+    maybe = F.coalesce(F.expr("bit_get(bits, bit) = 1"), F.lit(False))
+    shuffled = told.where(maybe).select("row", "key").dropDuplicates(["key"]).join(of.select(F.col("kept").alias("key")).hint("merge"), "key", "left_semi")
+    return told.where(~maybe).select("row.*").union(shuffled.select("row.*"))
 
 
 def _grouped(docs: DataFrame, n: int = 5, percent: int = 90, block_grams: int = 500_000) -> DataFrame:

@@ -206,3 +206,17 @@ def test_bits_count_as_divide_skip(monkeypatch):
         found = sorted(jaccard.tile_links(*args, across))
         monkeypatch.setattr(jaccard, "MOST_WORDS", 0)
         assert found and found == sorted(jaccard.tile_links(*args, across))
+
+
+def test_rows_alone_in_their_group_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)), "s") for i in range(120)]
+    rows += [(200, rows[3][1], "s"), (201, rows[3][1] + " w", "t"), rows[7], rows[7], (None, None, None), (None, None, None), (202, "", None)]
+    docs, shuffled = spark.createDataFrame(rows, "doc_id long, text string, source string"), []
+    whole = type(docs).dropDuplicates
+    monkeypatch.setattr(type(docs), "dropDuplicates", lambda self, *a: shuffled.append(self.count()) or whole(self, *a))
+    want = [r for r in dict.fromkeys(rows) if r[0] not in (200, 201)]
+    for bits, most in ((24, 20), (6, len(rows))):
+        monkeypatch.setattr(jaccard, "ROW_BITS", bits)
+        assert sorted(map(tuple, jaccard.distinct_documents(docs).collect()), key=str) == sorted(want, key=str)
+        assert 8 <= shuffled.pop() <= most
