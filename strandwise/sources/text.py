@@ -11,7 +11,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from ..functions import cigar as C
 from ..functions import regions, tags
 from ..functions import variants as V
+from ..storage import numbered
 
 SAM_FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
@@ -643,7 +644,4 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
 
 def in_file_order(df: DataFrame) -> DataFrame:
     """Numbers rows from 0 in the order of `ordinal`: sorted by range, numbered by partition."""
-    s = df.orderBy("ordinal").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    n = s.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_m")))
-    before = n.groupBy("_p").agg(F.max("_k").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return n.join(before, "_p").withColumn("ordinal", F.col("_k") + F.col("_o") - 1).drop("_p", "_m", "_k", "_o")
+    return numbered(df.orderBy("ordinal"), "_number").withColumn("ordinal", F.col("_number") - 1).drop("_number")

@@ -1,5 +1,7 @@
 """Operators and expressions against literals."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,20 @@ def test_catalogue_without_llm():
 
     assert {"depth_sparse", "bed_subtract", "level"} <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numbers_of_rows_that_come_in_another_order_each_time(spark):
+    from strandwise.sources import text
+
+    def anyhow(batches):
+        for b in batches:
+            yield b.take(pa.array(np.random.default_rng().permutation(b.num_rows)))
+
+    # ranges are cut by a sample of rows, which come in any order out of a shuffle
+    rows = spark.range(200_000, numPartitions=8).select("id", (F.col("id") * 7919 % 200_003).alias("ordinal")).mapInArrow(anyhow, "id long, ordinal long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = text.in_file_order(rows).agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("d"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b"), F.sum("id")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tuple(out) == (200_000, 200_000, 0, 199_999, 200_000 * 199_999 // 2)
