@@ -565,6 +565,8 @@ def bam_header(path: str) -> dict:
 _CODES = np.zeros(256, np.uint8)
 for _c, _v in (("T", 0), ("C", 1), ("A", 2), ("G", 3)):
     _CODES[[ord(_c), ord(_c.lower())]] = _v
+#: bytes of sequences that a task holds before it passes them on
+HELD = 1 << 24
 _LETTERS = np.array([[ord("TCAG"[b >> s & 3]) for s in (6, 4, 2, 0)] for b in range(256)], np.uint8)
 
 
@@ -650,38 +652,58 @@ def read_twobit_region(path: str, chr: str, start: int = 1, end: int | None = No
 
 
 def read_twobit(spark: SparkSession, path: str, mask: bool = False) -> DataFrame:
-    """name, sequence: the driver reads the index, and each sequence is read by a task that seeks to it."""
+    """name, sequence: the driver reads the index, and gives each task names with their places, to which it seeks."""
     with open(path, "rb") as raw:
-        names = [n for n, _ in twobit_index(raw)[1]]
+        order, index = twobit_index(raw)
 
     def run(batches):
-        for b in batches:
-            for name in b.column("name").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([read_twobit_region(path, name, mask=mask)])], names=["name", "sequence"])
+        with open(path, "rb") as raw:
+            for b in batches:
+                names, held, size = b.column("name").to_pylist(), [], 0
+                for i, at in enumerate(b.column("at").to_pylist()):
+                    held.append(decode_region(raw, order, at, mask=mask))
+                    size += len(held[-1])
+                    if size > HELD or i + 1 == len(names):
+                        yield pa.RecordBatch.from_arrays([pa.array(names[i + 1 - len(held) : i + 1], pa.string()), pa.array(held, pa.string())], names=["name", "sequence"])
+                        held, size = [], 0
 
-    return spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 200))).mapInArrow(run, "name string, sequence string")
+    return spark.createDataFrame(index, "name string, at long").repartition(max(1, min(len(index), 200))).mapInArrow(run, "name string, sequence string")
 
 
 def write_twobit(sequences: DataFrame, path: str) -> None:
-    """One file of sequences in their order; tasks encode and write them, the index follows from their sizes."""
+    """One file of sequences in their order; tasks encode and write them in files of many, the index follows from their sizes."""
     folder = Folder.new(sequences.sparkSession, "twobit")
+    kinds = pa.schema([("file", pa.string()), ("k", pa.int64()), ("name", pa.string()), ("size", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, k = TaskContext.get().partitionId(), 0
+        part, n, held = TaskContext.get().partitionId(), 0, []
+
+        def put():
+            nonlocal n, held
+            file = f"{part:07d}-{n:09d}"
+            folder.write(file, b"".join(body for _, body in held))
+            out = pa.RecordBatch.from_arrays([pa.array([file] * len(held)), pa.array(range(len(held)), pa.int64()), pa.array([name for name, _ in held], pa.string()), pa.array([len(body) for _, body in held], pa.int64())], schema=kinds)
+            n, held = n + 1, []
+            return out
+
+        size = 0
         for b in batches:
-            for name, seq in zip(b.column("name").to_pylist(), b.column("sequence").to_pylist()):
-                body = encode_sequence(seq)
-                folder.write(f"{part:07d}-{k:09d}", body)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{part:07d}-{k:09d}"]), pa.array([name]), pa.array([len(body)], pa.int64())], names=["file", "name", "size"])
-                k += 1
+            for name, seq in zip(b.column("name").to_pylist(), b.column("sequence")):
+                held.append((name, encode_sequence(seq.as_py())))
+                size += len(held[-1][1])
+                if size > HELD:
+                    yield put()
+                    size = 0
+        if held:
+            yield put()
 
     try:
-        rows = sorted(sequences.select("name", "sequence").mapInArrow(run, "file string, name string, size long").collect())
+        rows = sorted(sequences.select("name", "sequence").mapInArrow(run, "file string, k long, name string, size long").collect())
         with open(path, "wb") as out:
             out.write(twobit_head([r["name"] for r in rows], [r["size"] for r in rows]))
-            for r in rows:
-                out.write(folder.read(r["file"]))
+            for file in dict.fromkeys(r["file"] for r in rows):
+                out.write(folder.read(file))
     finally:
         folder.drop()
