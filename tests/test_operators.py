@@ -107,3 +107,16 @@ def test_numbers_of_rows_that_come_in_another_order_each_time(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tuple(out) == (200_000, 200_000, 0, 199_999, 200_000 * 199_999 // 2)
+
+
+def test_read_names_by_one_match(spark):
+    names = ["M1:2:FC:1:30:4:7 2:N:0:ACGT", "@M1:2:FC:1:30:4:7 1:Y:18:", "HWI:6:73:941:1973#0/1", "HWI:6:73:941:1973", "plain", "a\nb", None]
+    p = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string").select("i", sequences.parse_read_name(F.col("name")).alias("p"))
+    got = {r.i: r.p and tuple(r.p) for r in p.collect()}
+    assert got[0] == ("1.8", "M1", "2", "FC", "1", "30", "4", "7", "2", "N", "0", "ACGT")
+    assert got[1] == ("1.8", "M1", "2", "FC", "1", "30", "4", "7", "1", "Y", "18", None)
+    assert got[2] == ("1.0", "HWI", None, None, "6", "73", "941", "1973", "1", None, None, "0")
+    assert got[3] == ("1.0", "HWI", None, None, "6", "73", "941", "1973", None, None, None, None)
+    assert got[4] is got[5] is got[6] is None
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(f) for f in ("regexp_extract", "regexp_replace", "RLIKE")) == 2  # one for each naming scheme
