@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -559,44 +561,114 @@ def read_pileup(spark: SparkSession, path: str) -> DataFrame:
     """rname, pos, ref, count, and pile array<struct<base,reverse,qual,starts,mapq,ends,inserted,deleted>>."""
     kind = "pile array<struct<base:string,reverse:boolean,qual:int,starts:boolean,mapq:int,ends:boolean,inserted:string,deleted:int>>"
 
-    def tokens(bases: str, quals: str, ref: str):
-        i, out = 0, []
-        while i < len(bases):
-            starts, mapq = bases[i] == "^", None
-            if starts:
-                mapq, i = ord(bases[i + 1]) - 33, i + 2
-            c, i = bases[i], i + 1
-            reverse = c in ",<" or c.islower()
-            base = ref if c in ".," else ">" if c in "<>" else c.upper()
-            inserted = deleted = None
-            if i < len(bases) and bases[i] in "+-":
-                m = re.compile(r"[+-]([0-9]+)").match(bases, i)
-                n, i = int(m.group(1)), m.end()
-                if m.group(0)[0] == "+":
-                    inserted = bases[i : i + n].upper()
-                else:
-                    deleted = n
-                i += n
-            ends = i < len(bases) and bases[i] == "$"
-            i += ends
-            out.append({"base": base, "reverse": reverse, "qual": ord(quals[len(out)]) - 33, "starts": starts, "mapq": mapq, "ends": ends, "inserted": inserted, "deleted": deleted})
-        return out
+    fields = StructType.fromDDL(f"rname string, pos int, ref string, count int, {kind}")
+    target = to_arrow_schema(fields)
 
     def run(batches):
         for b in batches:
-            rows = []
-            for line in b.column("value").to_pylist():
-                if line:
-                    f = line.split("\t")
-                    n = int(f[3])
-                    rows.append({"rname": f[0], "pos": int(f[1]), "ref": f[2], "count": n, "pile": tokens(f[4], f[5], f[2].upper()) if n else []})
-            yield pa.RecordBatch.from_pylist(rows, schema=target)
+            lines = b.column("value").filter(pc.not_equal(b.column("value"), ""))
+            if not len(lines):
+                continue
+            # lines of about PILES bytes at once: what becomes of a byte takes some fifty
+            part = np.cumsum(pc.binary_length(lines).to_numpy()) // PILES
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lines)]
+            for i, k in zip(edges[:-1], edges[1:]):
+                f = pc.split_pattern(lines.slice(i, k - i), "\t")
+                rname, pos, ref, count, bases, quals = (pc.list_element(f, n) if n < 4 else _text_field(f, n) for n in range(6))
+                count = count.cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([rname, pos.cast(pa.int32()), ref, count, pile_tokens(pc.if_else(pc.equal(count, 0), "", bases), quals, ref, target.field("pile").type)], schema=target)
 
-    fields = StructType.fromDDL(f"rname string, pos int, ref string, count int, {kind}")
-    target = to_arrow_schema(fields)
     return spark.read.text(path).mapInArrow(run, fields)
 
 
+def _text_field(fields: pa.ListArray, n: int) -> pa.Array:
+    """The n-th field of each line; empty where a line has fewer."""
+    long = pc.greater(pc.list_value_length(fields), n)
+    if pc.all(long).as_py():
+        return pc.list_element(fields, n)
+    return pa.array([x[n] if len(x) > n else "" for x in fields.to_pylist()], pa.string())
+
+
+#: bytes of pileup lines that are parsed at once
+PILES = 1 << 20
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of a text column."""
+    lengths = pc.binary_length(column).to_numpy().astype(np.int64)
+    return np.frombuffer("".join(column.to_pylist()).encode(), np.uint8), lengths
+
+
+def pile_tokens(bases: pa.Array, quals: pa.Array, ref: pa.Array, kind: pa.DataType) -> pa.ListArray:
+    """The reads of each line's bases and qualities, of all lines at once."""
+    x, lengths = _bytes_of(bases)
+    q, q_lengths = _bytes_of(quals)
+    n = len(x)
+    line = np.repeat(np.arange(len(bases)), lengths)
+    # a mark "^" and the quality after it, which may be a "^" too: every other one of a run is a mark
+    caret = x == 94
+    at = np.arange(n)
+    fresh = caret & ~np.concatenate([[False], caret[:-1]])
+    mark = caret & ((at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0)
+    after = np.concatenate([[False], mark[:-1]])
+    free = ~mark & ~after
+    # "+" or "-", a number, and as many letters
+    sign = np.flatnonzero(free & ((x == 43) | (x == 45)))
+    size, end = np.zeros(len(sign), np.int64), sign + 1
+    while True:
+        more = (end < n) & (size >= 0)
+        digit = np.where(more, x[np.minimum(end, max(n - 1, 0))], 0) if n else np.zeros(0, np.uint8)
+        more &= (digit >= 48) & (digit <= 57) & (end - sign <= 9)
+        if not more.any():
+            break
+        size, end = np.where(more, size * 10 + digit - 48, size), end + more
+        done = ~more & (size >= 0)
+        size[done] = -size[done] - 1  # the number has ended
+    size = np.where(size < 0, -size - 1, size)
+    taken = np.zeros(n + 1, np.int64)
+    # a digit of one number may be a base of another only in a damaged line
+    np.add.at(taken, sign, 1)
+    np.add.at(taken, np.minimum(end + size, n), -1)
+    free &= np.cumsum(taken[:-1]) == 0
+    dollar = free & (x == 36)
+    base = np.flatnonzero(free & ~dollar)
+    b, own = x[base], line[base]
+    k = np.cumsum(free & ~dollar) - 1  # the base that a place belongs to
+    starts, ends = np.zeros(len(base), bool), np.zeros(len(base), bool)
+    marks = np.flatnonzero(mark)
+    mapq = np.zeros(len(base), np.int64)
+    starts[k[marks] + 1] = True
+    mapq[k[marks] + 1] = x[np.minimum(marks + 1, max(n - 1, 0))].astype(np.int64) - 33
+    ends[k[np.flatnonzero(dollar)]] = True
+    counts = np.bincount(own, minlength=len(bases))
+    first = np.concatenate([[0], np.cumsum(counts)])
+    if (counts > q_lengths).any():
+        raise ValueError("a pileup line has fewer qualities than bases")
+    quality = q[(np.concatenate([[0], np.cumsum(q_lengths)])[:-1])[own] + np.arange(len(base)) - first[own]].astype(np.int64) - 33
+    lower = (b >= 97) & (b <= 122)
+    upper = np.where(lower, b - 32, b)
+    shown = pa.array(np.where((b == 60) | (b == 62), 62, upper), pa.uint8())
+    letters = pa.array([chr(i) for i in range(128)]).take(shown)
+    same = (b == 44) | (b == 46)
+    if same.any():
+        letters = pc.if_else(pa.array(same), pc.utf8_upper(ref).take(pa.array(own)), letters)
+    deleted, inserted = np.zeros(len(base), np.int64), np.full(len(base), None, object)
+    minus = x[sign] == 45
+    deleted[k[sign[minus]]] = size[minus]
+    has = np.zeros(len(base), bool)
+    has[k[sign[minus]]] = True
+    whole = x.tobytes()
+    for i, a, m in zip(k[sign[~minus]].tolist(), end[~minus].tolist(), size[~minus].tolist()):
+        inserted[i] = whole[a : a + m].decode().upper()
+    parts = {
+        "base": letters, "reverse": pa.array((b == 44) | (b == 60) | lower), "qual": pa.array(quality, pa.int32()), "starts": pa.array(starts), "mapq": pa.array(mapq, pa.int32(), mask=~starts),
+        "ends": pa.array(ends), "inserted": pa.array(inserted, pa.string()), "deleted": pa.array(deleted, pa.int32(), mask=~has),
+    }
+    inner = kind.value_type
+    rows = pa.StructArray.from_arrays([parts[inner.field(i).name].cast(inner.field(i).type) for i in range(inner.num_fields)], fields=list(inner))
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows).cast(kind)
+
+
 def write_pileup(text: DataFrame, path: str) -> None:
     """Rows of operators.pileup.pileup_text."""
     _write_lines(text.orderBy("rname", "pos").select(F.concat_ws("\t", "rname", F.col("pos").cast("string"), "ref", F.col("count").cast("string"), "bases", "quals").alias("value")), path)

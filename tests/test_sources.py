@@ -178,3 +178,31 @@ def test_twobit_sequences_are_read_at_their_own_places(spark, tmp_path):
         assert sorted((r.name, r.sequence) for r in binary.read_twobit(spark, path, mask=True).collect()) == sorted(rows)
     finally:
         binary.HELD = cut
+
+
+def test_pileup_lines_are_parsed_at_once(spark, tmp_path):
+    path = tmp_path / "x.pileup"
+    deep = 30_000
+    path.write_text("\n".join([
+        "r\t1\tN\t5\t^^A+2acG^>t$>-3NNN<$\t!I5#~", "r\t2\tg\t3\t.,-12nnnnnnnnnnnn$*\tIII", "r\t3\tN\t0\t\t", "", "r\t4\tN\t3\t^+A^-C+1tG$\tABC",
+        *(f"d\t{i}\tN\t{deep}\t{'^]A' * deep}\t{'I' * deep}" for i in range(20)),
+    ]) + "\n")
+    rows = text.read_pileup(spark, str(path))
+    p = {r.pos: [tuple(x) for x in r.pile] for r in rows.where("rname = 'r'").collect()}
+    assert p[1] == [("A", False, 0, True, 61, False, "AC", None), ("G", False, 40, False, None, False, None, None), ("T", True, 20, True, 29, True, None, None), (">", False, 2, False, None, False, None, 3), (">", True, 93, False, None, True, None, None)]
+    assert p[2] == [("G", False, 40, False, None, False, None, None), ("G", True, 40, False, None, True, None, 12), ("*", False, 40, False, None, False, None, None)]
+    assert p[3] == []
+    assert [(x[0], *x[3:]) for x in p[4]] == [("A", True, 10, False, None, None), ("C", True, 12, False, "T", None), ("G", False, None, True, None, None)]
+    assert rows.where("rname = 'd'").selectExpr("sum(size(pile)) AS n").first().n == 20 * deep
+
+
+def test_piles_move_packed_and_once(spark):
+    from strandwise.plans import queries
+
+    rows = pileup.pile_rows(spark.createDataFrame([("q", 0, "r", 5, 60, "4M", "*", 0, "ACGT", "IIII", 1)], "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, seq string, qual string, ordinal long"), fields=pileup.TEXT)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert "named_struct" not in plan(pileup.pileup_text(rows))
+    assert moves(pileup.mpileup({"a": rows, "b": rows})) == 1
+    assert [tuple(r)[1:] for r in pileup.pileup_text(rows).orderBy("pos").collect()] == [(5, "N", 1, "^]A", "I"), (6, "N", 1, "C", "I"), (7, "N", 1, "G", "I"), (8, "N", 1, "T$", "I")]
+    assert "Join" not in plan(queries.QUERIES["pileup_overlap_qual"](spark, "/root/testdata/sf0.001"))
