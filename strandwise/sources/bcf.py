@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from ..storage import checkpoint
 from . import text
-from .binary import BgzfReader, bgzf, write_parts
-from .indexed import _LINES, _Span, find_index, read_index, region_chunks
+from .binary import BgzfReader, bgzf, first_record, write_parts
+from .indexed import _LINES, SPLIT, _Span, find_index, read_index, region_chunks
 
 MAGIC = b"BCF\x02\x02"
 _INTS = {1: ("b", 1, -128, -127), 2: ("h", 2, -32768, -32767), 3: ("i", 4, -(2**31), -(2**31) + 1)}
@@ -134,9 +135,29 @@ def decode(shared: bytes, each: bytes, strings: list[str], contigs: list[str]) -
     return "\t".join(line)
 
 
+def _plausible(data: bytes, k: int, contigs: int, samples: int) -> int | None:
+    """Where the record at k ends, if it may be one."""
+    if k + 33 > len(data):
+        return None
+    shared, each, chrom, pos, rlen, _, n_allele_info, n_fmt_sample = struct.unpack_from("<2I3i3I", data, k)
+    if not (25 <= shared < 1 << 28 and each < 1 << 28 and 0 <= chrom < contigs and pos >= -1 and rlen >= 0 and n_allele_info >> 16 and n_fmt_sample & 0xFFFFFF == samples):
+        return None
+    # the identifier comes next, a text or nothing
+    return k + 8 + shared + each if data[k + 32] & 15 in (0, 7) and (each or not n_fmt_sample >> 24) else None
+
+
+def _samples(header: list[str]) -> int:
+    return max(0, len(next((x for x in header if x.startswith("#CHROM")), "").split("\t")) - 9)
+
+
+#: a record's place: number of its contig, first and last base, virtual offsets of it and of the one after it
+_PLACES = pa.schema([("ref", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("beg", pa.int64()), ("next", pa.int64())])
+
+
 class _BcfReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.spans = options["path"], options.get("spans")
+        self.split, self.places = int(options.get("split", SPLIT >> 4)), options.get("places") == "true"
 
     def partitions(self):
         if self.spans is not None:
@@ -147,7 +168,8 @@ class _BcfReader(DataSourceReader):
             first = src.tell()
         index = find_index(self.path)
         if index is None:
-            return [_Span(first, 1 << 62, False)]
+            size = os.path.getsize(self.path)
+            return [_Span(a, min(a + self.split, size), True) for a in range(0, size, self.split)]
         # an index names places at which records begin
         cuts = sorted({first, *(least for bins in read_index(index)["refs"] for least, _ in bins.values() if least > first)})
         cuts = cuts[:: max(1, len(cuts) // 64)]
@@ -155,32 +177,53 @@ class _BcfReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        schema = _PLACES if self.places else _LINES
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
         with open(self.path, "rb") as raw:
-            strings, contigs = dictionaries(read_header(BgzfReader(raw)))
-            src = BgzfReader(raw, partition.beg)
-            while src.tell() < partition.end:
+            src = BgzfReader(raw)
+            header = read_header(src)
+            strings, contigs = dictionaries(header)
+            beg, end = partition.beg, partition.end
+            if partition.split:  # a range of bytes, which begins at the first place from which a chain of plausible records goes on
+                size, n = os.path.getsize(self.path), _samples(header)
+                find = lambda at: first_record(raw, at, size, 0, plausible=lambda data, k: _plausible(data, k, len(contigs), n))
+                beg, end = find(beg) if beg else src.tell(), find(end) if end < size else 1 << 62
+                if beg is None:
+                    return
+                end = 1 << 62 if end is None else end
+            src = BgzfReader(raw, beg)
+            while src.tell() < end:
                 at = src.tell()
                 head = src.read(8)
                 if len(head) < 8:
                     break
                 a, b = struct.unpack("<2I", head)
-                held.append((decode(src.read(a), src.read(b), strings, contigs), at, src.tell()))
+                shared, each = src.read(a), src.read(b)
+                if self.places:
+                    chrom, pos, rlen = struct.unpack_from("<3i", shared)
+                    start = max(pos + 1, 1)
+                    held.append((chrom, start, max(pos + rlen, start), at, src.tell()))
+                else:
+                    held.append((decode(shared, each, strings, contigs), at, src.tell()))
                 if len(held) == 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _LINES.types)], schema=_LINES)
+                    yield batch()
                     held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _LINES.types)], schema=_LINES)
+            yield batch()
 
 
 class BcfSource(DataSource):
-    """format("bcf"): value (a record as a VCF line), beg and next (virtual offsets); options path, spans."""
+    """format("bcf"): value (a record as a VCF line), beg and next (virtual offsets); options path, spans, split (bytes).
+
+    With places=true, ref, start, end, beg and next instead: where a record lies, without its fields.
+    """
 
     @classmethod
     def name(cls):
         return "bcf"
 
     def schema(self):
-        return "value string, beg long, next long"
+        return "ref int, start long, end long, beg long, next long" if self.options.get("places") == "true" else "value string, beg long, next long"
 
     def reader(self, schema):
         return _BcfReader(self.options)
@@ -219,10 +262,8 @@ def build_bcf_index(spark: SparkSession, path: str) -> str:
         contigs = dictionaries(read_header(BgzfReader(raw)))[1]
     if os.path.exists(path + ".csi"):
         os.remove(path + ".csi")
-    rows = text.vcf_rows(spark.read.format("bcf").option("path", path).load().withColumn("ordinal", F.col("beg")), {"columns": []}, keep=("next",))
-    number = F.create_map(*[F.lit(x) for i, n in enumerate(contigs) for x in (n, i)])
-    last = F.greatest(F.coalesce(F.get(F.col("info")["END"], F.lit(0)).try_cast("long"), F.col("pos") + F.length("ref") - 1), F.col("pos"))
-    chunks, windows = index_rows(rows.select(number[F.col("chr")].alias("ref"), F.greatest("pos", F.lit(1)).alias("start"), last.alias("end"), F.col("ordinal").alias("beg"), "next"))
+    # rows of five numbers, kept for the two tables that are made of them
+    chunks, windows = index_rows(checkpoint(spark.read.format("bcf").option("path", path).option("places", "true").load()))
     write_bgzf(csi_bytes(chunks, windows, len(contigs)), path + ".csi")
     return path + ".csi"
 

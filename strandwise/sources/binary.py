@@ -288,7 +288,10 @@ class BaiBuilder:
         base <<= 16
         for k, (bins, linear, meta) in enumerate(zip(other.bins, other.linear, other.meta)):
             for number, chunks in bins.items():
-                self.bins[k].setdefault(number, []).extend([a + base, b + base] for a, b in chunks)
+                known, later = self.bins[k].setdefault(number, []), [[a + base, b + base] for a, b in chunks]
+                if known and later and known[-1][1] >> 16 == later[0][0] >> 16:
+                    known[-1][1] = later.pop(0)[1]
+                known.extend(later)
             for w, at in linear.items():
                 self.linear[k].setdefault(w, at + base)
             if meta[0] is not None:
@@ -425,21 +428,22 @@ def _plausible(data: bytes, k: int, refs: int) -> int | None:
     return k + 4 + size
 
 
-def _chained(data: bytes, k: int, refs: int, chain: int) -> bool:
+def _chained(data: bytes, k: int, plausible, chain: int) -> bool:
     """Do plausible records follow one another from k on, `chain` of them or to the end of the data?"""
     for n in range(chain):
         if k + 36 > len(data):
             return n > 0
-        k = _plausible(data, k, refs)
+        k = plausible(data, k)
         if k is None:
             return False
     return True
 
 
-def first_record(raw, offset: int, size: int, refs: int, chain: int = 8) -> int | None:
-    """Virtual offset of the first record that begins in a block at or after a byte offset."""
+def first_record(raw, offset: int, size: int, refs: int, chain: int = 8, plausible=None) -> int | None:
+    """Virtual offset of the first record that begins in a block at or after a byte offset; plausible(data, place) as `_plausible`."""
     from .indexed import next_block
 
+    plausible = plausible or (lambda data, k: _plausible(data, k, refs))
     at = next_block(raw, offset, size)
     while at is not None:
         src = BgzfReader(raw, at << 16)
@@ -449,7 +453,7 @@ def first_record(raw, offset: int, size: int, refs: int, chain: int = 8) -> int
         while len(data) < own + (1 << 17) and src._block():
             data += src.data
         for k in range(own):
-            if _chained(data, k, refs, chain):
+            if _chained(data, k, plausible, chain):
                 return at << 16 | k
         at = next_block(raw, at + 1, size)
     return None
@@ -459,7 +463,7 @@ class _BamReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.chr = options["path"], options.get("chr")
         self.start, self.end = int(options.get("start", 1)), int(options["end"]) if "end" in options else None
-        self.split, self.columns = int(options.get("split", 64 << 20)), options.get("columns")
+        self.split, self.columns = int(options.get("split", 16 << 20)), options.get("columns")
 
     def partitions(self):
         with open(self.path, "rb") as raw:

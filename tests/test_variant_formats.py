@@ -90,3 +90,24 @@ def test_bigwig(spark, tmp_path):
             w = bigwig.BigWig(raw)
             assert w.names() == {0: ("chr1", 1000), 1: ("chrTwo", 500)} and w.summary()["max"] == 7.0
             assert len(w.blocks(0, 35, 99)) == 1
+
+
+def test_bcf_without_index_is_split(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from strandwise.plans import roundtrips
+    from strandwise.sources import bcf
+
+    path = str(tmp_path / "x.bcf")
+    rows = roundtrips._variants(spark, "/root/testdata/sf0.01")
+    bcf.write_bcf(rows, path, roundtrips.META)
+    load = lambda split: spark.read.format("bcf").option("path", path).option("split", split).load()
+    assert load(10_000).rdd.getNumPartitions() == -(-os.path.getsize(path) // 10_000) > 5
+    assert bcf.read_bcf(spark, path).count() == rows.count()
+    a, b = (sorted(tuple(r) for r in load(n).collect()) for n in (10_000, 1 << 30))
+    assert a == b
+    places = spark.read.format("bcf").option("path", path).option("split", 10_000).option("places", "true").load()
+    lines = load(1 << 30).select(F.split("value", "\t").alias("f"), "beg", "next").select(F.col("f")[1].cast("long").alias("pos"), F.length(F.col("f")[3]).alias("n"), "beg", "next")
+    assert sorted(tuple(r) for r in places.select("start", "end", "beg", "next").collect()) == sorted((r.pos, r.pos + r.n - 1, r.beg, r.next) for r in lines.collect())
