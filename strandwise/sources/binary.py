@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -237,6 +238,158 @@ def decode_record(data: bytes, names: list[str], core: bool = False) -> dict:
     }
 
 
+# --- records as columns
+
+_HEAD = np.dtype([("ref", "<i4"), ("pos", "<i4"), ("n_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("n_seq", "<i4"), ("nref", "<i4"), ("npos", "<i4"), ("tlen", "<i4")])
+_PAIRS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], np.uint8)
+_NIBBLE = np.full(256, 255, np.uint8)
+for _i, _c in enumerate(BASES):
+    _NIBBLE[[ord(_c), ord(_c.lower())]] = _i
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of slices of bytes, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
+def decode_columns(data: bytes, at: list[int], names: list[str], wanted: list[str]) -> dict[str, pa.Array] | None:
+    """Columns of the records at places (after their sizes); None if a record needs `decode_record`."""
+    buffer, at = np.frombuffer(data, np.uint8), np.array(at, np.int64)
+    h = buffer[at[:, None] + np.arange(32)].reshape(-1).view(_HEAD)
+    number = lambda k: h[k].astype(np.int64)
+    n_name, n_ops, n_seq, ref, nref = map(number, ("n_name", "n_ops", "n_seq", "ref", "nref"))
+    cigar = at + 32 + n_name
+    seq = cigar + 4 * n_ops
+    qual = seq + (n_seq + 1) // 2
+    size = buffer[(at - 4)[:, None] + np.arange(4)].reshape(-1).view("<i4").astype(np.int64)
+    rest, end = qual + n_seq, at + size
+    shapes: dict[bytes, int] = {}
+    codes = [shapes.setdefault(data[a:b], len(shapes)) for a, b in zip(cigar.tolist(), seq.tolist())]
+    texts, spans = [], []
+    for raw in shapes:
+        ops = struct.unpack(f"<{len(raw) // 4}I", raw)
+        if len(ops) == 2 and ops[0] & 15 == 4 and ops[1] & 15 == 3:
+            return None  # the operations may be in a tag
+        texts.append("".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*")
+        spans.append(max(sum(x >> 4 for x in ops if OPS[x & 15] in "MDN=X"), 1))
+    codes = np.array(codes, np.int64)
+    known = pa.array([*names, "*"])
+    refs = known.take(pa.array(np.where(ref < 0, len(names), ref)))
+
+    def bases():
+        packed = (n_seq + 1) // 2
+        pairs = _PAIRS[buffer[_places(seq, packed)]].reshape(-1)
+        letters = pairs[_places(2 * (np.cumsum(packed) - packed), n_seq)]
+        return pc.if_else(pa.array(n_seq == 0), "*", _strings(letters, n_seq))
+
+    first = buffer[np.minimum(qual, len(buffer) - 1)]
+    lacks = (n_seq == 0) | (first == 255)
+
+    def qualities():
+        own = np.where(lacks, 0, n_seq)
+        return pc.if_else(pa.array(lacks), "*", _strings(buffer[_places(qual, own)] + 33, own))
+
+    if "qual" in wanted:
+        own = buffer[_places(qual, np.where(lacks, 0, n_seq))]
+        if (own > 94).any():
+            return None
+
+    def options():
+        kind = BAM_ARROW.field("options").type
+        if (rest == end).all():
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], kind.value_type)).cast(kind)
+        return pa.array([_options(data[a:b]) for a, b in zip(rest.tolist(), end.tolist())], kind)
+
+    i32 = lambda x: pa.array(x, pa.int32())
+    make = {
+        "qname": lambda: _strings(buffer[_places(at + 32, n_name - 1)], n_name - 1), "flag": lambda: i32(number("flag")), "rname": lambda: refs, "pos": lambda: i32(number("pos") + 1), "mapq": lambda: i32(number("mapq")),
+        "cigar": lambda: pa.array(texts).take(pa.array(codes)), "rnext": lambda: pc.if_else(pa.array(nref < 0), "*", pc.if_else(pa.array(nref == ref), "=", known.take(pa.array(np.where(nref < 0, len(names), nref))))),
+        "pnext": lambda: i32(number("npos") + 1), "tlen": lambda: i32(number("tlen")), "seq": bases, "qual": qualities, "options": options, "end": lambda: i32(number("pos") + np.array(spans, np.int64)[codes]),
+    }
+    return {n: make[n]() for n in wanted if n in make}
+
+
+def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of a text column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def encode_columns(batch: pa.RecordBatch, ids: dict[str, int]) -> tuple[bytes, np.ndarray, np.ndarray] | None:
+    """(records of a batch, their ends in it, how many reference bases each has); None if a record needs `encode_record`."""
+    column = lambda n: batch.column(batch.schema.get_field_index(n))
+    fields = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
+    n = batch.num_rows
+    has_options = "options" in batch.schema.names and (column("options").null_count < n and (pc.max(pc.list_value_length(column("options"))).as_py() or 0) > 0)
+    if not n or any(column(f).null_count for f in fields):
+        return None
+    number = lambda k: column(k).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def coded(name: str, f):
+        """f of each distinct text of a column, and which one a row has."""
+        d = column(name).dictionary_encode()
+        return [f(x) for x in d.dictionary.to_pylist()], d.indices.to_numpy().astype(np.int64)
+
+    shapes, shape = coded("cigar", lambda x: [(int(k), o) for k, o in _cigar(x)])
+    if any(len(ops) > 65535 for ops in shapes):
+        return None
+    raws = [np.frombuffer(struct.pack(f"<{len(ops)}I", *(k << 4 | OPS.index(o) for k, o in ops)), np.uint8) for ops in shapes]
+    span = np.array([sum(k for k, o in ops if o in "MDN=X") or 1 for ops in shapes], np.int64)[shape]
+    n_ops = np.array([len(ops) for ops in shapes], np.int64)[shape]
+    seq, n_seq = _text_bytes(pc.if_else(pc.equal(column("seq"), "*"), "", column("seq")))
+    lacks = pc.equal(column("qual"), "*").to_numpy(zero_copy_only=False)
+    qual, n_qual = _text_bytes(pc.if_else(pc.equal(column("qual"), "*"), "", column("qual")))
+    name, n_name = _text_bytes(column("qname"))
+    if (_NIBBLE[seq] == 255).any() or (n_qual[~lacks] != n_seq[~lacks]).any() or (qual < 33).any() or (n_name > 254).any():
+        return None
+    tags = [_encode_options(x) for x in column("options").to_pylist()] if has_options else []
+    n_tags = np.array([len(x) for x in tags], np.int64) if tags else np.zeros(n, np.int64)
+    ref_of, ref_at = coded("rname", lambda x: ids.get(x, -1))
+    next_of, next_at = coded("rnext", lambda x: -2 if x == "=" else ids.get(x, -1))
+    ref, nref = np.array(ref_of, np.int64)[ref_at], np.array(next_of, np.int64)[next_at]
+    packed, pos = (n_seq + 1) // 2, number("pos")
+    beg = np.maximum(pos - 1, 0)
+    last, region = beg + span - 1, np.zeros(n, np.int64)
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        region = np.where(beg >> shift == last >> shift, first + (beg >> shift), region)
+    size = 32 + n_name + 1 + 4 * n_ops + packed + n_seq + n_tags
+    ends = np.cumsum(size + 4)
+    start = ends - size
+    out = np.zeros(ends[-1], np.uint8)
+    h = np.zeros(n, _HEAD)
+    for k, x in (("ref", ref), ("pos", pos - 1), ("n_name", n_name + 1), ("mapq", number("mapq")), ("bin", region), ("n_ops", n_ops), ("flag", number("flag")), ("n_seq", n_seq), ("nref", np.where(nref == -2, ref, nref)), ("npos", number("pnext") - 1), ("tlen", number("tlen"))):
+        low, high = np.iinfo(_HEAD[k]).min, np.iinfo(_HEAD[k]).max
+        if ((x < low) | (x > high)).any():
+            return None
+        h[k] = x
+    out[(start - 4)[:, None] + np.arange(4)] = size.astype("<i4").view(np.uint8).reshape(-1, 4)
+    out[start[:, None] + np.arange(32)] = h.view(np.uint8).reshape(-1, 32)
+    at = start + 32
+    out[_places(at, n_name)] = name
+    at = at + n_name + 1
+    out[_places(at, 4 * n_ops)] = np.concatenate([np.concatenate(raws)[:0], *(raws[i] for i in shape.tolist())])
+    at = at + 4 * n_ops
+    own = np.repeat(at, n_seq)
+    k = np.arange(len(seq)) - np.repeat(np.cumsum(n_seq) - n_seq, n_seq)
+    code, odd = _NIBBLE[seq], k & 1 == 1
+    out[(own + k // 2)[~odd]] = code[~odd] << 4
+    out[(own + k // 2)[odd]] |= code[odd]
+    at = at + packed
+    out[_places(at[~lacks], n_seq[~lacks])] = qual - 33
+    out[_places(at[lacks], n_seq[lacks])] = 255
+    if tags:
+        out[_places(at + n_seq, n_tags)] = np.frombuffer(b"".join(tags), np.uint8)
+    return out.tobytes(), ends, span
+
+
 def read_bai(raw: bytes) -> list[tuple[dict[int, list[tuple[int, int]]], list[int]]]:
     """Per reference: chunks by bin, and the linear index."""
     if raw[:4] != b"BAI\x01":
@@ -385,6 +538,10 @@ def write_bam(alignments: DataFrame, path: str, header: dict, index: bool = Fals
         out = io.BytesIO()
         w, builder = BgzfWriter(out), BaiBuilder(len(refs))
         for batch in batches:
+            made = None if index else encode_columns(batch, ids)
+            if made is not None:
+                w.write(made[0])
+                continue
             for r in batch.to_pylist():
                 before = w.tell()
                 w.write(encode_record(r, ids))
@@ -491,7 +648,7 @@ class _BamReader(DataSourceReader):
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         names = self.columns.split(",") if self.columns else BAM_ARROW.names
-        schema, held = pa.schema([BAM_NEXT.field(n) for n in names]), []
+        schema = pa.schema([BAM_NEXT.field(n) for n in names])
         core = not {"seq", "qual", "options"} & set(names)
         with open(self.path, "rb") as raw:
             src = BgzfReader(raw)
@@ -503,21 +660,68 @@ class _BamReader(DataSourceReader):
                 end = first_record(raw, end, size, len(refs)) if end else None
                 if beg is None:
                     return
-            src = BgzfReader(raw, beg)
-            while end is None or src.tell() < end:
-                at = src.tell()
-                head = src.read(4)
-                if len(head) < 4:
-                    break
-                r = decode_record(src.read(struct.unpack("<i", head)[0]), known, core)
-                if self.chr is not None and (r["rname"] != self.chr or (self.chr != "*" and (r["end"] < self.start or (self.end is not None and r["pos"] > self.end)))):
-                    continue
-                held.append(r | {"ordinal": at, "next": src.tell()})
-                if len(held) == 5000:
-                    yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in held], schema=schema)
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in held], schema=schema)
+            for data, at, begs, nexts in _record_runs(raw, beg, end):
+                columns = decode_columns(data, at, known, [*dict.fromkeys([*names, "rname", "pos", "end"])])
+                if columns is None:
+                    rows = [decode_record(data[k : k + struct.unpack_from("<i", data, k - 4)[0]], known, core) for k in at]
+                    columns = {n: pa.array([r[n] for r in rows], BAM_NEXT.field(n).type) for n in {*names, "rname", "pos", "end"} - {"ordinal", "next"}}
+                columns |= {"ordinal": pa.array(begs, pa.int64()), "next": pa.array(nexts, pa.int64())}
+                batch = pa.RecordBatch.from_arrays([columns[n] for n in names], schema=schema)
+                if self.chr is not None:
+                    inside = pc.equal(columns["rname"], self.chr)
+                    if self.chr != "*":
+                        inside = pc.and_(inside, pc.greater_equal(columns["end"], self.start))
+                        inside = inside if self.end is None else pc.and_(inside, pc.less_equal(columns["pos"], self.end))
+                    batch = batch.filter(inside)
+                if batch.num_rows:
+                    yield batch
+
+
+def _record_runs(raw, beg: int, end: int | None, most: int = 5000) -> Iterator[tuple[bytes, list[int], list[int], list[int]]]:
+    """(bytes, places of records in them, their virtual offsets, those of the next ones) of the records from beg to end, in runs."""
+    src = BgzfReader(raw, beg)
+    data, k, blocks = src.data[src.at :], 0, [(-src.at, src.start)] if src.data else []  # (where a block's first byte lies in data, its place in the file)
+    at, begs, nexts, after = [], [], [], src.next  # after: where the block after data begins
+
+    def virtual(p: int) -> int:
+        while len(blocks) > 1 and blocks[1][0] <= p:
+            blocks.pop(0)
+        return (blocks[0][1] << 16 | p - blocks[0][0]) if blocks and p < len(data) else after << 16
+
+    while True:
+        while len(data) - k < 4 or len(data) - k < 4 + struct.unpack_from("<i", data, k)[0]:
+            if at:  # what is whole goes on before data grows
+                yield data, at, begs, nexts
+                at, begs, nexts = [], [], []
+            data, blocks, k = data[k:], [(p - k, place) for p, place in blocks], 0
+            grown, parts = len(data), [data]
+            while grown < 1 << 20 and src._block():
+                if src.data:
+                    blocks.append((grown, src.start))
+                    parts.append(src.data)
+                    grown, after = grown + len(src.data), src.next
+            if len(parts) == 1:  # the file's end, or a record longer than that
+                while (more := src._block()) and not src.data:
+                    pass
+                if not more:
+                    return
+                blocks.append((grown, src.start))
+                parts.append(src.data)
+                after = src.next
+            data = b"".join(parts)
+        own = virtual(k)
+        if end is not None and own >= end:
+            break
+        size = struct.unpack_from("<i", data, k)[0]
+        at.append(k + 4)
+        begs.append(own)
+        k += 4 + size
+        nexts.append(virtual(k))
+        if len(at) == most:
+            yield data, at, begs, nexts
+            at, begs, nexts = [], [], []
+    if at:
+        yield data, at, begs, nexts
 
 
 class BamSource(DataSource):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import pickle
 import struct
 from collections.abc import Iterator
 
@@ -397,38 +398,28 @@ def build_vcf_index(spark: SparkSession, path: str, out: str | None = None, shif
 
 def build_bai(spark: SparkSession, path: str) -> str:
     """Builds the BAI of a BAM file sorted by coordinate, from its records' places alone."""
-    from .binary import BgzfReader, read_bam, read_bam_header
+    from .binary import BaiBuilder, BgzfReader, read_bam, read_bam_header
 
     with open(path, "rb") as raw:
         names = [n for n, _ in read_bam_header(BgzfReader(raw))[1]]
-    r = read_bam(spark, path, columns="pointer").withColumn("beg", F.col("ordinal"))
-    number = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "rname string, ref int")
-    placed = r.where("rname <> '*' AND pos > 0").join(F.broadcast(number) if len(names) < 100_000 else number, "rname")
-    chunks, windows = index_rows(placed.select("ref", F.col("pos").alias("start"), "end", "beg", "next"))
-    unmapped = F.col("flag").bitwiseAND(F.lit(4)) != 0
-    meta = {x["ref"]: x for x in placed.groupBy("ref").agg(F.min("beg").alias("a"), F.max("next").alias("b"), F.count_if(~unmapped).alias("n"), F.count_if(unmapped).alias("m")).collect()}
-    unplaced = r.where("rname = '*' OR pos < 1").count()
-    by: list[dict] = [{} for _ in names]
-    least: list[dict] = [{} for _ in names]
-    for x in chunks.collect():
-        by[x["ref"]].setdefault(x["bin"], []).append((x["beg"], x["next"]))
-    for x in windows.collect():
-        least[x["ref"]][x["window"]] = x["least"]
-    out = b"BAI\x01" + struct.pack("<i", len(names))
-    for k in range(len(names)):
-        m = meta.get(k)
-        out += struct.pack("<i", len(by[k]) + (m is not None))
-        for b, found in sorted(by[k].items()):
-            out += struct.pack("<Ii", b, len(found)) + b"".join(struct.pack("<2Q", *c) for c in sorted(found))
-        if m is not None:
-            out += struct.pack("<Ii4Q", 37450, 2, m["a"], m["b"], m["n"], m["m"])
-        last, n = 0, max(least[k], default=-1) + 1
-        out += struct.pack("<i", n)
-        for w in range(n):
-            last = least[k].get(w, last)
-            out += struct.pack("<Q", last)
+    ids = {n: i for i, n in enumerate(names)}
+
+    def run(batches):
+        """The index of a split's records, which are in order; the file is read once."""
+        first, builder = None, BaiBuilder(len(names))
+        for b in batches:
+            columns = [b.column(n).to_pylist() for n in ("rname", "pos", "end", "flag", "ordinal", "next")]
+            for rname, pos, end, flag, beg, after in zip(*columns):
+                first = beg if first is None else first
+                builder.add(ids.get(rname, -1), pos, end, flag, beg, after)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([pickle.dumps(builder)], pa.binary())], names=["first", "part"])
+
+    whole = BaiBuilder(len(names))
+    for _, part in sorted((r["first"], bytes(r["part"])) for r in read_bam(spark, path, columns="pointer").mapInArrow(run, "first long, part binary").collect()):
+        whole.append(pickle.loads(part), 0)
     with open(path + ".bai", "wb") as f:
-        f.write(out + struct.pack("<Q", unplaced))
+        f.write(whole.to_bytes())
     return path + ".bai"
 
 

@@ -206,3 +206,44 @@ def test_piles_move_packed_and_once(spark):
     assert moves(pileup.mpileup({"a": rows, "b": rows})) == 1
     assert [tuple(r)[1:] for r in pileup.pileup_text(rows).orderBy("pos").collect()] == [(5, "N", 1, "^]A", "I"), (6, "N", 1, "C", "I"), (7, "N", 1, "G", "I"), (8, "N", 1, "T$", "I")]
     assert "Join" not in plan(queries.QUERIES["pileup_overlap_qual"](spark, "/root/testdata/sf0.001"))
+
+
+def test_bam_records_as_columns_are_those_of_one_by_one(tmp_path):
+    import io
+    import random
+    import struct
+
+    import pyarrow as pa
+
+    rng, ids = random.Random(1), {"c1": 0, "c2": 1}
+
+    def one(i):
+        n = rng.choice([0, 1, 7, 10, 400])
+        return {
+            "qname": f"q{i}", "flag": rng.choice([0, 16, 4, 99]), "rname": rng.choice(["c1", "c2", "*"]), "pos": rng.randrange(10**5), "mapq": rng.randrange(255), "cigar": rng.choice(["10M", "3S7M", "5M3D5M", "*", "4M20N6M"]),
+            "rnext": rng.choice(["=", "*", "c2"]), "pnext": rng.randrange(1000), "tlen": rng.randrange(-50, 50), "seq": "".join(rng.choice("ACGTNacgt=") for _ in range(n)) or "*",
+            "qual": "*" if rng.random() < 0.3 or not n else "".join(chr(rng.randrange(33, 127)) for _ in range(n)), "options": [{"tag": "NM", "type": "i", "value": str(rng.randrange(10**5))}] if rng.random() < 0.3 else [],
+        }
+
+    rows = [one(i) for i in range(6000)]
+    each = [binary.encode_record(r, ids) for r in rows]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([binary.BAM_ARROW.field(n) for n in rows[0]]))
+    assert binary.encode_columns(batch, ids)[0] == b"".join(each)
+    assert binary.encode_columns(batch.slice(100, 50), ids)[0] == b"".join(each[100:150])
+    long = pa.RecordBatch.from_pylist([rows[0] | {"cigar": "1M1I" * 40_000}], schema=batch.schema)
+    assert binary.encode_columns(long, ids) is None  # goes by encode_record
+    raw = io.BytesIO()
+    w = binary.BgzfWriter(raw)
+    w.write(b"".join(each))
+    w.close()
+    src, want = binary.BgzfReader(raw), []
+    for x in each:
+        at = src.tell()
+        want.append(binary.decode_record(src.read(struct.unpack("<i", src.read(4))[0]), list(ids)) | {"ordinal": at, "next": src.tell()})
+    got = []
+    for data, at, begs, nexts in binary._record_runs(raw, 0, None):
+        columns = binary.decode_columns(data, at, list(ids), binary.BAM_ARROW.names) | {"ordinal": pa.array(begs, pa.int64()), "next": pa.array(nexts, pa.int64())}
+        got += pa.RecordBatch.from_arrays([columns[n] for n in binary.BAM_NEXT.names], schema=binary.BAM_NEXT).to_pylist()
+    assert got == want
+    part = [o for _, _, begs, _ in binary._record_runs(raw, want[10]["ordinal"], want[4000]["ordinal"]) for o in begs]
+    assert part == [r["ordinal"] for r in want[10:4000]]
