@@ -120,3 +120,21 @@ def test_read_names_by_one_match(spark):
     assert got[4] is got[5] is got[6] is None
     plan = p._jdf.queryExecution().optimizedPlan().toString()
     assert sum(plan.count(f) for f in ("regexp_extract", "regexp_replace", "RLIKE")) == 2  # one for each naming scheme
+
+
+def test_subtract_leaves_the_left_side_where_it_is(spark):
+    rng = np.random.default_rng(3)
+    rows = lambda n, width: [(f"c{c}" if c else None, int(s), int(s + w)) for c, s, w in zip(rng.integers(0, 4, n), rng.integers(1, 3000, n), rng.integers(-1, width, n))]
+    left = frame(spark, [(*r, i) for i, r in enumerate(rows(400, 300))] + [("c1", None, 5, 400), ("other", 1, 9, 401)], ", id long")
+    right = frame(spark, rows(60, 40)).where("start <= end")
+    few = I.subtract(left, right)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    most, I.EVERYWHERE = I.EVERYWHERE, 0
+    try:
+        many = I.subtract(left, right)
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert few.columns == many.columns and few.schema.simpleString() == many.schema.simpleString()
+        a, b = (sorted((tuple(r) for r in x.collect()), key=key) for x in (few, many))
+    finally:
+        I.EVERYWHERE = most
+    assert a == b and len(a) > 400
